@@ -5,8 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_warc_chain": "warc",
     "op2_best_fit_packing": "packing",
     "op4_token_binary": "tokenfile",
+    "op5_quality_ledger": "quality",
+    "op10_decontamination": "decontaminate",
 }
 
 
