@@ -28,7 +28,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 20 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 40 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
 }
@@ -121,5 +121,5 @@ WITH w AS (
 ), x AS (SELECT m.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)
 ), y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept FROM y
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 40 * n_lines) AS kept FROM y
 """
