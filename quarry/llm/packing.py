@@ -200,6 +200,7 @@ def pack_level(items: DataFrame, n_blocks: int, capacity: int, islands: int = IS
     state = materialize(dealt.groupBy("block").applyInPandas(_first(capacity), STATE), "pack-state")
     solved = state.where("n_bins <= bound")
     open_blocks = state.where("n_bins > bound")
+    tasks = max(1, min(n_blocks * islands, 100_000))  # named, as tiny rows with long work would be put together in one task
     for epoch in range(epochs):
         if open_blocks.isEmpty():
             break
@@ -208,7 +209,7 @@ def pack_level(items: DataFrame, n_blocks: int, capacity: int, islands: int = IS
         else:
             migrants = open_blocks.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("bins").alias("elite"))
             rows = open_blocks.join(migrants, ["block", "island"])
-        rows = rows.select("block", "island", "items", "lengths", "bins", "n_bins", "bound", "elite").repartition("block", "island")
+        rows = rows.select("block", "island", "items", "lengths", "bins", "n_bins", "bound", "elite").repartition(tasks, "block", "island")
         open_blocks = materialize(rows.mapInPandas(_epoch(capacity, epoch), STATE), "pack-state")
     best = open_blocks.groupBy("block").agg(F.min_by(F.struct("items", "lengths", "bins"), F.struct("n_bins", "island")).alias("s")).select("block", "s.*")
     done = solved.select("block", "items", "lengths", "bins").unionByName(best)
