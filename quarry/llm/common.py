@@ -1,67 +1,33 @@
-"""What the operators share: the shared folder, tables written and read again, word hashing."""
+"""What the operators share: tables, and hashes of words and shingles over whole texts."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.storage import drop, materialize, remove, shared_dir, shared_path
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Tables of a few numbers a row are broadcast up to this many rows, a bound of some tens of MB; beyond it joins shuffle.
+BROADCAST_ROWS = 400_000
+
+__all__ = ["BROADCAST_ROWS", "DOCUMENT_COLUMNS", "drop", "materialize", "mix", "remove", "shared_dir", "shared_path", "shingle_hashes", "shuffle_partitions", "small", "table", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, which every executor sees.
-
-    Where the setting is absent (tests), a folder below the warehouse, which is shared too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by materialize(), once nothing reads it any more."""
-    spark, folders = df.sparkSession, {x.rsplit("/", 1)[0] for x in df.inputFiles()}
-    for folder in folders:
-        remove(spark, folder)
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has few rows; df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_column_of(values: np.ndarray) -> int:
-    import zlib
-
-    return zlib.crc32(np.ascontiguousarray(values, dtype="<u4").tobytes())
-
-
 # --- words as 64-bit hashes, vectorised over the bytes of a whole text -------------------------
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -127,8 +93,3 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     for i in range(k):
         out += words[i : n - k + 1 + i] * _PLACE[i % 5] + np.uint64(i)
     return mix(out + np.uint64(k))
-
-
-def native_words(text, pattern: str):
-    """SQL: the array of maximal runs matching the class `pattern`; null text gives no words."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))

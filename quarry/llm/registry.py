@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op1_warc_chain": "warc",
     "op2_best_fit_packing": "packing",
+    "op3_ngram_jaccard": "ngram_join",
     "op4_token_binary": "tokenfile",
     "op5_quality_ledger": "quality",
     "op10_decontamination": "decontaminate",
