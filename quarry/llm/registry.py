@@ -10,6 +10,8 @@ _MODULES = {
     "op3_ngram_jaccard": "ngram_join",
     "op4_token_binary": "tokenfile",
     "op5_quality_ledger": "quality",
+    "op6_feistel_pseudonyms": "pii",
+    "op7_page_differencing": "html",
     "op10_decontamination": "decontaminate",
 }
 
