@@ -1,0 +1 @@
+"""Column functions: set algebra, portable hashing, codec sizes, similarity formulas."""

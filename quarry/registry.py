@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans import graph
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(graph.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(graph.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
