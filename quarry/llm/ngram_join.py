@@ -8,14 +8,15 @@ n - ceil(0.75 n) + 1), so
 1. prefixes are dealt by shingle into buckets, packed as arrays. In a bucket, documents under one
    shingle are paired if their sizes allow a link; counts of shared prefix shingles are summed over
    buckets, and bound the overlap, which leaves few candidates;
-2. under a shingle with more than `GROUP` documents not all pairs are made: each is paired with a
-   pivot first, and after step 4 only documents that are still in different components are paired;
-3. candidates are split into blocks, each of the connected candidates, or of a document and a part
-   of its candidates where those are many, so that a block's sets have a bounded size;
-4. in a block the ordered sets stand in a path-compressed prefix tree. A set is matched against the
-   tree from the root: documents below a node share the overlap counted so far, and a subtree goes
-   when that overlap with all that may remain on both sides cannot reach the overlap a link needs.
-   Documents already connected are skipped.
+2. under a shingle with more than `GROUP` documents not all pairs are made: the documents are chained
+   by size, which connects whatever can link there;
+3. the connected candidates are a block. In a block the ordered sets stand in a path-compressed
+   prefix tree, and every set is matched against the tree from the root: documents below a node share
+   the overlap counted so far, and a subtree goes when that overlap with all that may remain on both
+   sides cannot reach the overlap a link needs, or when all its documents are already connected;
+4. connected candidates with more than `BLOCK_SHINGLES` shingles in all are too many for one task.
+   There a block is a document and a part of its candidates, and after that, under the shingles of
+   step 2, all pairs of documents that are still in different components are matched too.
 
 Sets travel once for each block they are in; equal sets are one node, whatever the number of copies.
 
@@ -42,11 +43,11 @@ WIDTH = 5
 PART, WHOLE = 3, 4
 SKETCH_BITS = 22
 SLICES = 64
-GROUP = 48
+GROUP = 12
 BUCKET_TOKENS = 1_000_000
 #: Shingles in a block's sets at most, unless one pair alone has more.
 BLOCK_SHINGLES = 4_000_000
-PIVOT = 1 << 20
+CHAINED = 1 << 20
 
 
 def text_set(text: str | None) -> np.ndarray:
@@ -244,7 +245,7 @@ def _counted(codes: list[np.ndarray], width: int):
     return code // width, code % width, count
 
 
-def _pair_up(n_buckets: int):
+def _pair_up(n_buckets: int, group: int):
     def run(t: pa.Table) -> pa.Table:
         shift, docs, at = 0, [], []
         for d, a in zip(t.column("docs"), t.column("at")):
@@ -259,8 +260,8 @@ def _pair_up(n_buckets: int):
         token, doc = token[fresh], doc[fresh]
         start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         length, width = np.diff(np.concatenate((start, [len(token)]))), len(nodes)
-        codes, rows, pivots = [], [], []
-        for k in range(2, min(GROUP, int(length.max())) + 1):
+        codes, rows, chains = [], [], []
+        for k in range(2, min(group, int(length.max())) + 1):
             runs = start[length == k]
             left, right = np.triu_indices(k, 1)
             for i in range(0, len(runs), max(1, 2_000_000 // len(left))):
@@ -268,17 +269,17 @@ def _pair_up(n_buckets: int):
                 a, b = own[:, left].ravel(), own[:, right].ravel()
                 ok = _close(sizes[a], sizes[b])
                 codes.append(a[ok] * width + b[ok])
-        for s, k in zip(start[length > GROUP], length[length > GROUP]):
+        for s, k in zip(start[length > group], length[length > group]):
             own = doc[s : s + k]
-            turn = np.uint64(int(token[s]) % 16)
-            pivot = own[np.argmin(mix(nodes[own].astype(np.uint64) ^ mix(np.array([turn]))))]
-            other = own[(own != pivot) & _close(sizes[own], sizes[pivot])]
-            pivots.append(np.minimum(other, pivot) * width + np.maximum(other, pivot))
+            by_size = own[np.lexsort((nodes[own], sizes[own]))]
+            a, b = by_size[:-1], by_size[1:]
+            ok = _close(sizes[a], sizes[b])  # documents between two that can link can link with their neighbours
+            chains.append(np.minimum(a, b)[ok] * width + np.maximum(a, b)[ok])
             rows.append((1, (int(t.column("bucket")[0].as_py()) << 32) + int(token[s]), None, None, None, None, None, nodes[own].tolist(), sizes[own].tolist()))
         a, b, c = _counted(codes, width)
         rows += _packed(0, a, b, c, nodes, sizes, n_buckets)
-        a, b, c = _counted(pivots, width)
-        rows += _packed(2, a, b, np.full(len(a), PIVOT), nodes, sizes, n_buckets)
+        a, b, c = _counted(chains, width)
+        rows += _packed(2, a, b, np.full(len(a), CHAINED), nodes, sizes, n_buckets)
         return _rows(rows)
 
     return run
@@ -299,7 +300,7 @@ SUMMED = "a long, b long, na int, nb int, c long"
 def _bound():
     """The most that the overlap can be, from the c shingles shared in the prefixes; see prefix_length()."""
     rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
-    return (F.col("c") % PIVOT) + F.greatest(rest("na"), rest("nb"))
+    return (F.col("c") % CHAINED) + F.greatest(rest("na"), rest("nb"))
 
 
 def _enough():
@@ -320,7 +321,7 @@ class Trie:
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.sets = [sets[i] for i in self.order]
         self.sizes = np.array([len(s) for s in self.sets])
-        self.shared = [0] + [self._common(x, y) for x, y in zip(self.sets, self.sets[1:])]
+        self.shared = np.array([0] + [self._common(x, y) for x, y in zip(self.sets, self.sets[1:])])
 
     @staticmethod
     def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -330,21 +331,19 @@ class Trie:
 
     def children(self, first: int, end: int, depth: int) -> list[tuple[int, int]]:
         """The ranges of sets in [first, end) that go on alike after `depth`."""
-        cuts = [first, *[i for i in range(first + 1, end) if self.shared[i] <= depth], end]
-        return list(zip(cuts[:-1], cuts[1:]))
+        cuts = (np.flatnonzero(self.shared[first + 1 : end] <= depth) + first + 1).tolist()
+        return list(zip([first, *cuts], [*cuts, end]))
 
-    def matches(self, probe: np.ndarray, wanted: np.ndarray, skip) -> Iterator[int]:
-        """Places of wanted sets that link with the probe; skip(place) is asked before a leaf is finished."""
+    def matches(self, probe: np.ndarray, wanted: np.ndarray) -> Iterator[int]:
+        """Places of wanted sets that link with the probe; subtrees without a wanted set are not entered."""
         before = np.concatenate(([0], np.cumsum(wanted)))
-        stack = [(a, b, 0, 0) for a, b in reversed(self.children(0, len(self.sets), -1 if not len(self.sets) else 0))]
+        stack = [(a, b, 0, 0) for a, b in reversed(self.children(0, len(self.sets), 0))]
         while stack:
             first, end, depth, overlap = stack.pop()
             if before[end] == before[first]:
                 continue
-            if end - first == 1 and skip(first):
-                continue
             leaf, sizes = self.sets[first], self.sizes[first:end]
-            to = min(self.shared[first + 1 : end], default=len(leaf)) if end - first > 1 else len(leaf)
+            to = int(self.shared[first + 1 : end].min()) if end - first > 1 else len(leaf)
             if to > depth:
                 label = leaf[depth:to]
                 at = np.searchsorted(probe, label)
@@ -363,70 +362,103 @@ class Trie:
                     yield ended
                 ended += 1
             if ended < end:
-                cuts = [ended, *[i for i in range(ended + 1, end) if self.shared[i] <= to], end]
-                stack += [(a, b, to, overlap) for a, b in reversed(list(zip(cuts[:-1], cuts[1:])))]
+                stack += [(a, b, to, overlap) for a, b in reversed(self.children(ended, end, to))]
 
 
-def join_block(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links among the pairs, enough of them to connect what all of them connect."""
+def join_block(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Links among all sets, or among the pairs: enough of them to connect what all of them connect."""
     names = list(sets)
     trie = Trie([sets[x] for x in names])
-    place = {names[i]: k for k, i in enumerate(trie.order)}
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    by_probe: dict[int, list[int]] = {}
-    for a, b in pairs:
-        by_probe.setdefault(place[a], []).append(place[b])
+    names = [names[i] for i in trie.order]
+    place = {x: i for i, x in enumerate(names)}
+    component = np.arange(len(names))
+    others: dict[int, list[int]] = {}
+    for a, b in pairs or ():
+        others.setdefault(place[a], []).append(place[b])
     links = []
-    for a, others in by_probe.items():
-        wanted = np.zeros(len(names), np.int64)
-        wanted[[b for b in others if root(b) != root(a)]] = 1
-        for b in trie.matches(trie.sets[a], wanted, lambda x, a=a: root(x) == root(a)):
-            if wanted[b] and root(a) != root(b):
-                parent[root(b)] = root(a)
-                links.append((names[trie.order[a]], names[trie.order[b]]))
+    for a in others if pairs is not None else range(len(names)):
+        wanted = component != component[a]
+        if pairs is None:
+            wanted[: a + 1] = False
+        else:
+            asked = np.zeros(len(names), bool)
+            asked[others[a]] = True
+            wanted &= asked
+        if not wanted.any():
+            continue
+        for b in trie.matches(trie.sets[a], wanted):
+            if wanted[b] and component[a] != component[b]:
+                component[component == component[b]] = component[a]
+                links.append((names[a], names[b]))
     return links
 
 
-def _join_blocks(shared):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        classes, sets = shared.value, {}
-        for node, text in zip(left.column("node").to_pylist(), left.column("text")):
-            h = text_set(text.as_py())
-            if set_name(h) == node:
-                sets[node] = ordered(h, classes)
-        pairs = [(a, b) for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()) if a in sets and b in sets]
-        links = join_block(sets, pairs) if pairs else []
-        return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([y for _, y in links], pa.int64())})
+def _sets_of(t: pa.Table, classes: np.ndarray) -> dict[int, np.ndarray]:
+    sets = {}
+    for node, text in zip(t.column("node").to_pylist(), t.column("text")):
+        h = text_set(text.as_py())
+        if set_name(h) == node:
+            sets[node] = ordered(h, classes)
+    return sets
+
+
+def _links_table(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([y for _, y in links], pa.int64())})
+
+
+def _join_whole(shared):
+    def run(members: pa.Table) -> pa.Table:
+        return _links_table(join_block(_sets_of(members, shared.value)))
 
     return run
 
 
-def verify(docs: DataFrame, profiled: DataFrame, pairs: DataFrame, shared) -> DataFrame:
-    """Links (src, dst) that connect what the linking ones among pairs(a, b, na, nb) connect."""
-    pairs = materialize(pairs.select("a", "b", "na", "nb"), "candidates")
-    labels = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
-    heavy = labels.join(sizes, "id").groupBy("label").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > BLOCK_SHINGLES).select("label", F.lit(True).alias("heavy"))
-    placed = pairs.join(labels.withColumnRenamed("id", "a"), "a").join(heavy, "label", "left")
-    degree = pairs.groupBy("a").agg(F.sum("nb").alias("load"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK_SHINGLES))
-    placed = placed.join(degree, "a").select("a", "b", F.when(F.col("heavy"), F.xxhash64("label", "a", part)).otherwise(F.xxhash64("label")).alias("block"))
-    placed = materialize(placed, "blocks")
-    members = placed.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+def _join_pairs(shared):
+    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
+        sets = _sets_of(members, shared.value)
+        pairs = [(a, b) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()) if a in sets and b in sets]
+        return _links_table(join_block(sets, pairs))
+
+    return run
+
+
+def _with_texts(docs: DataFrame, profiled: DataFrame, members: DataFrame) -> DataFrame:
+    """members(block, node) with a text that has the node's set."""
     texts = profiled.where("slice is null and n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     members = materialize(members.join(texts, "node"), "members")
     wanted = small(members.select("text_hash").distinct())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    carried = members.join(found, "text_hash").select("block", "node", "text")
-    return materialize(carried.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_join_blocks(shared), "src long, dst long"), "links")
+    return members.join(found, "text_hash").select("block", "node", "text")
+
+
+def verify(docs: DataFrame, profiled: DataFrame, pairs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
+    """(links, crowded) from candidates(a, b, na, nb).
+
+    links(src, dst) connect what all links among connected candidates connect, except among crowded(id), the
+    documents in components too large for a block, where only the candidates themselves were matched.
+    """
+    pairs = materialize(pairs.select("a", "b", "na", "nb"), "candidates")
+    labels = materialize(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "candidate-labels")
+    sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+    heavy = materialize(labels.join(sizes, "id").groupBy("label").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > BLOCK_SHINGLES).select("label"), "heavy")
+    light = labels.join(heavy, "label", "left_anti").select(F.col("label").alias("block"), F.col("id").alias("node"))
+    links = materialize(_with_texts(docs, profiled, light).groupBy("block").applyInArrow(_join_whole(shared), "src long, dst long"), "links")
+    crowded = labels.join(heavy, "label", "left_semi").select("id")
+    if heavy.isEmpty():
+        return links, crowded
+    return links.unionByName(verify_pairs(docs, profiled, pairs.join(crowded.withColumnRenamed("id", "a"), "a", "left_semi"), shared)), crowded
+
+
+def verify_pairs(docs: DataFrame, profiled: DataFrame, pairs: DataFrame, shared) -> DataFrame:
+    """Links (src, dst) that connect what the linking ones among pairs(a, b, na, nb) connect."""
+    placed = materialize(pairs.select("a", "b", "nb"), "candidates")
+    load = placed.groupBy("a").agg(F.sum("nb").alias("load"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK_SHINGLES))
+    placed = materialize(placed.join(load, "a").select("a", "b", F.xxhash64("a", part).alias("block")), "blocks")
+    members = placed.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = _with_texts(docs, profiled, members).groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_join_pairs(shared), "src long, dst long")
+    return materialize(more, "links")
 
 
 def _cross(n_buckets: int):
@@ -446,7 +478,7 @@ def _cross(n_buckets: int):
                 b = np.tile(np.arange(len(nodes)), len(inner[i : i + 256]))
                 ok = (label[a] != label[b]) & _close(sizes[a], sizes[b]) & ((label[b] == most) | (a < b))
                 a, b = a[ok], b[ok]
-                rows += _packed(0, np.minimum(a, b), np.maximum(a, b), np.full(len(a), PIVOT + 1), nodes, sizes, n_buckets)
+                rows += _packed(0, np.minimum(a, b), np.maximum(a, b), np.full(len(a), CHAINED + 1), nodes, sizes, n_buckets)
         return _rows(rows)
 
     return run
@@ -459,7 +491,7 @@ def links(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     total = profiled.where("slice is null").agg(F.sum("n").alias("n")).first().n or 0
     n_buckets = max(2 * shuffle_partitions(spark), -(-total // (4 * BUCKET_TOKENS)))
     prefixes = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_prefixes(shared, n_buckets), BUCKETS)
-    paired = materialize(prefixes.groupBy("bucket").applyInArrow(_pair_up(n_buckets), PAIRS), "pairs")
+    paired = materialize(prefixes.groupBy("bucket").applyInArrow(_pair_up(n_buckets, GROUP), PAIRS), "pairs")
     sums = paired.where("kind in (0, 2)").groupBy("key").applyInArrow(_sum_pairs, SUMMED)
     crowded = paired.where("kind = 1").select("key", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("key", F.col("m.members").alias("node"), F.col("m.sizes").alias("n"))
     crowds = materialize(crowded, "crowds")
@@ -467,15 +499,16 @@ def links(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     extra = small(materialize(crowds.groupBy("node").agg(F.count("*").alias("extra")), "crowd-counts"))
     sums = sums.join(extra.select(F.col("node").alias("a"), F.col("extra").alias("xa")), "a", "left").join(extra.select(F.col("node").alias("b"), F.col("extra").alias("xb")), "b", "left")
     more = F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0)))
-    first = verify(docs, profiled, sums.where((F.col("c") >= PIVOT) | (_bound() + more >= _enough())), shared)
-    if crowds.isEmpty():
+    first, heavy = verify(docs, profiled, sums.where((F.col("c") >= CHAINED) | (_bound() + more >= _enough())), shared)
+    left = materialize(crowds.join(heavy.withColumnRenamed("id", "node"), "node", "left_semi"), "crowds")
+    if left.isEmpty():
         return first
     labels = components(first)
-    told = crowds.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    told = left.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     cross = materialize(told.groupBy("key").applyInArrow(_cross(n_buckets), PAIRS), "cross-pairs")
     both = paired.where("kind = 0").unionByName(cross).groupBy("key").applyInArrow(_sum_pairs, SUMMED)
-    second = verify(docs, profiled, both.where((F.col("c") >= PIVOT) & (_bound() >= _enough())), shared)
-    return first.unionByName(second)
+    asked = both.where((F.col("c") >= CHAINED) & (_bound() >= _enough()))
+    return first.unionByName(verify_pairs(docs, profiled, asked, shared))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
