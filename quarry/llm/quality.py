@@ -66,9 +66,13 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """Adds `failed`: the bits of the rules that the measurements fail."""
+    """Adds `failed`: the bits of the rules that the measurements fail.
+
+    The bits come out of a generator, as a filter on them would otherwise be moved below the measurements and
+    repeat their expressions.
+    """
     bits = sum((F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(RULES.values())), F.lit(0))
-    return measured.withColumn("failed", bits.cast("long"))
+    return measured.select("*", F.inline(F.array(F.struct(bits.cast("long").alias("failed")))))
 
 
 def ledger(docs: DataFrame) -> DataFrame:

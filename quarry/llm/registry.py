@@ -12,6 +12,8 @@ _MODULES = {
     "op5_quality_ledger": "quality",
     "op6_feistel_pseudonyms": "pii",
     "op7_page_differencing": "html",
+    "op8_stupid_backoff": "lm",
+    "op9_quotation_linking": "chat",
     "op10_decontamination": "decontaminate",
 }
 
@@ -23,8 +25,12 @@ def _query(module: str):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: _query(module) for name, module in _MODULES.items()}
+    return {name: _query(module) for name, module in _MODULES.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
