@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join with prefix trees.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. All sets are put in one global
-order, rare shingles first: by the class of a count sketch over the whole corpus (fixed size), then
-by hash. Two sets that link share a shingle within their prefixes (a set of n has a prefix of
+order, rare shingles first: by the class of a count sketch over the whole corpus, then by hash. The
+sketch has a cell for every few shingles, up to 2^25 cells; any order gives the same links, a better
+one fewer candidates. Two sets that link share a shingle within their prefixes (a set of n has a prefix of
 n - ceil(0.75 n) + 1), so
 
 1. prefixes are dealt by shingle into buckets, packed as arrays. In a bucket, documents under one
@@ -41,9 +42,10 @@ from quarry.operators.components import components
 WIDTH = 5
 #: A link needs intersection / union >= PART / WHOLE.
 PART, WHOLE = 3, 4
-SKETCH_BITS = 22
+#: The sketch has 2^16 to 2^25 cells: 64 MB at most in a task, and 8 MB once classed.
+SKETCH_BITS = (16, 25)
 SLICES = 64
-GROUP = 12
+GROUP = 16
 BUCKET_TOKENS = 1_000_000
 #: Shingles in a block's sets at most, unless one pair alone has more.
 BLOCK_SHINGLES = 4_000_000
@@ -78,59 +80,97 @@ def prefix_length(n: int) -> int:
 PROFILE = "doc_id long, text_hash long, n long, node long, task long, slice int, cells binary"
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-
-    def count():
-        nonlocal held
-        if waiting:
-            counts[:] += np.bincount((np.concatenate(waiting) & mask).astype(np.int64), minlength=1 << SKETCH_BITS)
-        waiting.clear()
-        held = 0
-
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("task", pa.int64()), ("slice", pa.int32()), ("cells", pa.binary())])
-    none = lambda k, t: pa.nulls(k, t)
-    for batch in batches:
-        ns, nodes = [], []
-        for text in batch.column(2):
-            h = text_set(text.as_py())
-            ns.append(len(h))
-            nodes.append(set_name(h))
-            waiting.append(h)
-            held += len(h)
-            if held > 2_000_000:
-                count()
-        k = len(ns)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], schema=schema)
-    count()
-    if counts.any():
-        parts = np.minimum(counts, 0xFFFFFFFF).astype("<u4").reshape(SLICES, -1)
-        for i in range(SLICES):
-            cells = pa.array([parts[i].tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[none(1, pa.int64())] * 4, pa.array([task], pa.int64()), pa.array([i], pa.int32()), cells], schema=schema)
-
-
-def profile(docs: DataFrame) -> DataFrame:
+def _profile(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        counts, waiting, held = np.zeros(1 << bits, "<u2"), [], 0
+        mask = np.uint64((1 << bits) - 1)
+
+        def count():
+            nonlocal held
+            if waiting:
+                np.minimum(counts, 0x7FFF, out=counts)  # a text adds one to a cell for each shingle of its set
+                cells, times = np.unique((np.concatenate(waiting) & mask).astype(np.int64), return_counts=True)
+                counts[cells] += np.minimum(times, 0x7FFF).astype("<u2")
+            waiting.clear()
+            held = 0
+
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("task", pa.int64()), ("slice", pa.int32()), ("cells", pa.binary())])
+        for batch in batches:
+            ns, nodes = [], []
+            for text in batch.column(2):
+                h = text_set(text.as_py())
+                ns.append(len(h))
+                nodes.append(set_name(h))
+                waiting.append(h)
+                held += len(h)
+                if held > 2_000_000:
+                    count()
+            k = len(ns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+        count()
+        if counts.any():
+            parts = counts.reshape(SLICES, -1)
+            for i in range(SLICES):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([task], pa.int64()), pa.array([i], pa.int32()), pa.array([_zip(parts[i])], pa.binary())], schema=schema)
+
+    return run
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _zip(cells: np.ndarray) -> bytes:
+    return bytes([cells.itemsize]) + cells.nbytes.to_bytes(8, "little") + _ZSTD.compress(cells.tobytes(), asbytes=True)
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data[9:], int.from_bytes(data[1:9], "little")), f"<u{data[0]}")
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """About a cell for two shingles, at six bytes a word, within the bounds."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    return int(np.clip((size // 12 + 1).bit_length(), *SKETCH_BITS))
+
+
+def profile(docs: DataFrame, bits: int) -> DataFrame:
     """Rows of doc_id, text_hash, n (set size), node (set name); and the tasks' parts of the sketch, with a slice."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return materialize(rows.mapInArrow(_profile, PROFILE), "sets")
+    return materialize(rows.mapInArrow(_profile(bits), PROFILE), "sets")
 
 
 def _add_slices(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c.as_py(), "<u4").astype(np.int64) for c in t.column("cells"))
-    cells = np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()
+    total = np.zeros(1, np.int64)
+    for c in t.column("cells"):
+        total = total + _unzip(c.as_py())
+    cells = _zip(np.minimum(total, 0xFFFFFFFF).astype("<u4"))
     return pa.table({"task": pa.array([t.column("task")[0].as_py()], pa.int64()), "slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
 
 
-def rarity_classes(profiled: DataFrame) -> np.ndarray:
-    """Per cell of the sketch: 0 for counts up to twice the mean, then one more for every doubling.
+def _classed(mean: float):
+    """Two bits a cell: 0 below what the mean and its noise explain, then up to 8 and 64 times that, and above."""
+    usual = mean + 4 * mean**0.5 + 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for c in b.column(1):
+                x = _unzip(c.as_py())
+                k = ((x > usual).astype(np.uint8) + (x > 8 * usual) + (x > 64 * usual)).astype(np.uint8).reshape(-1, 4)
+                packed.append((k[:, 0] | k[:, 1] << 2 | k[:, 2] << 4 | k[:, 3] << 6).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["slice", "cells"])
 
-    Parts are added 64 at a time, so no task meets the parts of all tasks; the driver gets the sum, of fixed size.
+    return run
+
+
+def rarity_classes(profiled: DataFrame, bits: int) -> np.ndarray:
+    """The sketch's cells as classes, four to a byte.
+
+    Parts are added 64 at a time, so no task meets the parts of all tasks; the driver gets the classes, of fixed size.
     """
     parts = profiled.where("slice is not null").select("task", "slice", "cells")
     tasks = (parts.agg(F.max("task").alias("m")).first().m or 0) + 1
@@ -140,18 +180,16 @@ def rarity_classes(profiled: DataFrame) -> np.ndarray:
         if tasks == 1:
             break
         parts = materialize(parts, "sketch")
-    found = {r.slice: r.cells for r in parts.collect()}  # SLICES rows
-    if not found:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
-    counts = np.concatenate([np.frombuffer(found[i], "<u4") for i in range(SLICES)]).astype(np.int64)
-    times = counts // (2 * int(counts.mean()) + 3)
-    return np.where(times > 0, np.floor(np.log2(np.maximum(times, 1))) + 1, 0).astype(np.uint8)
+    total = profiled.where("slice is null").agg(F.sum("n").alias("n")).first().n or 0
+    found = {r.slice: r.cells for r in parts.select("slice", "cells").mapInArrow(_classed(total / (1 << bits)), "slice int, cells binary").collect()}  # SLICES rows
+    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(SLICES)]) if found else np.zeros(1 << (bits - 2), np.uint8)
 
 
 def ordered(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A set's keys in the global order: class, then hash."""
-    c = classes[(h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    keys = (c << np.uint64(56)) | (h >> np.uint64(8))
+    cell = h & np.uint64(4 * len(classes) - 1)
+    c = (classes[(cell >> np.uint64(2)).astype(np.int64)] >> ((cell & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
+    keys = (c.astype(np.uint64) << np.uint64(62)) | (h >> np.uint64(2))
     return np.sort(keys) if c.any() else keys
 
 
@@ -484,10 +522,10 @@ def _cross(n_buckets: int):
     return run
 
 
-def links(docs: DataFrame, profiled: DataFrame) -> DataFrame:
+def links(docs: DataFrame, profiled: DataFrame, bits: int) -> DataFrame:
     """(src, dst): links between set names that connect whatever all links connect."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(rarity_classes(profiled))
+    shared = spark.sparkContext.broadcast(rarity_classes(profiled, bits))
     total = profiled.where("slice is null").agg(F.sum("n").alias("n")).first().n or 0
     n_buckets = max(2 * shuffle_partitions(spark), -(-total // (4 * BUCKET_TOKENS)))
     prefixes = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_prefixes(shared, n_buckets), BUCKETS)
@@ -513,8 +551,9 @@ def links(docs: DataFrame, profiled: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, node (the set's name), component_id."""
-    profiled = profile(docs)
-    labels = components(links(docs, profiled))
+    bits = sketch_bits(docs)
+    profiled = profile(docs, bits)
+    labels = components(links(docs, profiled, bits))
     rows = profiled.where("slice is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node")
     rows = rows.join(small(labels.withColumnRenamed("id", "node")), "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = materialize(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "components")
