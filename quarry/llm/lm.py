@@ -9,10 +9,11 @@ per document, are joined to them there:
 
 1. unigram counts, summed by hash partition. Words with at least 1/1000 of all occurrences, at most
    1000, are frequent; they and the counts of pairs of them are known to every task.
-2. every document sends its distinct bigrams to the partition of the context, or of the whole bigram
-   if the context is frequent; bigrams of two frequent words are scored where they are. So no
+2. every document sends its distinct bigrams to the partition of the second word, or of the whole
+   bigram if that word is frequent; bigrams of two frequent words are scored where they are. So no
    partition gets more than a small share through one word or pair. A partition counts its bigrams
-   and contexts, scores what other documents have, and asks the unigram partitions for the rest.
+   and words, which gives all scores but the counts of contexts that are not frequent, and asks the
+   unigram partitions for those.
 3. partial sums go back to the partition of the document and are added there.
 
 N-grams travel as arrays, sorted and compressed, not as rows. Words are runs other than space and
@@ -37,7 +38,7 @@ from quarry.llm.common import materialize, mix, shuffle_partitions, table, word_
 
 ALPHA = np.log10(0.4)
 FREQUENT = 1000
-BUCKET_WORDS = 3_000_000
+BUCKET_WORDS = 1_500_000
 _MASK = np.uint64((1 << 48) - 1)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -89,20 +90,26 @@ def _by_bucket(kind: int, bucket: np.ndarray, part: int, *arrays: np.ndarray) ->
 
 
 def _unigrams(n_buckets: int):
+    """Counts of words, and how often they end a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
+        waiting, last, held = [], [], 0
 
         def flush():
             keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            ends = np.bincount(np.searchsorted(keys, np.concatenate(last)), minlength=len(keys))
             waiting.clear()
-            rows = _by_bucket(0, _bucket(keys, n_buckets), 0, keys, counts.astype("<u4"))
+            last.clear()
+            rows = _by_bucket(0, _bucket(keys, n_buckets), 0, keys, counts.astype("<u4"), ends.astype("<u4"))
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i : i + 64])
 
         for batch in batches:
             for text in batch.column(1):
-                waiting.append(words_of(text.as_py()))
-                held += len(waiting[-1])
+                w = words_of(text.as_py())
+                waiting.append(w)
+                last.append(w[-1:])
+                held += len(w)
                 if held > 3_000_000:
                     yield from flush()
                     held = 0
@@ -116,18 +123,18 @@ UNIGRAMS = "bucket long, words long, top long, data binary"
 
 
 def _sum_unigrams(t: pa.Table) -> pa.Table:
-    got = [unpack(d.as_py(), "<u8", "<u4") for d in t.column("data")]
-    keys, inverse = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
-    counts = np.bincount(inverse, weights=np.concatenate([c for _, c in got])).astype("<u8")
+    got = [unpack(d.as_py(), "<u8", "<u4", "<u4") for d in t.column("data")]
+    keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    counts, ends = (np.bincount(inverse, weights=np.concatenate([g[i] for g in got])).astype("<u8") for i in (1, 2))
     one = lambda x, kind: pa.array([x], kind)
-    return pa.table({"bucket": one(t.column("bucket")[0].as_py(), pa.int64()), "words": one(int(counts.sum()), pa.int64()), "top": one(int(counts.max()), pa.int64()), "data": one(pack(keys, counts), pa.binary())})
+    return pa.table({"bucket": one(t.column("bucket")[0].as_py(), pa.int64()), "words": one(int(counts.sum()), pa.int64()), "top": one(int(counts.max()), pa.int64()), "data": one(pack(keys, counts, counts - ends), pa.binary())})
 
 
 def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                keys, counts = unpack(data.as_py(), "<u8", "<u8")
+                keys, counts, _ = unpack(data.as_py(), "<u8", "<u8", "<u8")
                 take = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array(keys[take].astype(np.int64)), pa.array(counts[take].astype(np.int64))], ["word", "n"])
 
@@ -166,9 +173,11 @@ def _frequent_pairs(shared):
 
 # --- 2: bigrams ----------------------------------------------------------------------------------
 
-# rows of kind 0: bigrams (h, x, document, times, context's times in it) by bucket; 1: unigrams asked for (x, document,
-# times) by unigram bucket; 2: partial sums (document, sum, seen); 3: documents (document, doc_id, null, words)
-_BIGRAM, _ASKED, _SUM, _DOC = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4"), ("<u4", "<f8", "<u4"), ("<u4", "<i8", "<u1", "<u8")
+# rows of kind 0: bigrams (h, x, document, times, context's times in it) by bucket; 1: contexts asked for (h, document, times,
+# context's times in it) by unigram bucket; 2: partial sums (document, sum, seen); 3: documents (document, doc_id, null, words)
+_BIGRAM, _ASKED, _SUM, _DOC = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4", "<u4"), ("<u4", "<f8", "<u4"), ("<u4", "<i8", "<u1", "<u8")
+#: Stands for the context of a document's first word.
+_FIRST = np.uint64(1 << 48)
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -180,7 +189,13 @@ def _sums(doc: np.ndarray, value: np.ndarray, seen: np.ndarray) -> list[np.ndarr
     return [own.astype("<u4"), np.bincount(inverse, weights=value).astype("<f8"), np.bincount(inverse, weights=seen).astype("<u4")]
 
 
-def _bigrams(shared, n_buckets: int, n_unigram: int):
+def _documents(part: int, info: list[tuple]) -> tuple:
+    cols = list(zip(*info))
+    info.clear()
+    return (3, part, part, pack(np.array(cols[0], "<u4"), np.array(cols[1], "<i8"), np.array(cols[2], "<u1"), np.array(cols[3], "<u8")))
+
+
+def _bigrams(shared, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -190,27 +205,23 @@ def _bigrams(shared, n_buckets: int, n_unigram: int):
         info: list[tuple] = []
 
         def flush():
-            h, x, d, m, dh, first = (np.concatenate(c) for c in zip(*held))
+            h, x, d, m, dh = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            rows = _by_bucket(1, _bucket(x[first], n_unigram), part, x[first], d[first].astype("<u4"), m[first].astype("<u4"))
-            h, x, d, m, dh = (a[~first] for a in (h, x, d, m, dh))
-            hot_h, hot_x = _places(words, h), _places(words, x)
-            both = (hot_h >= 0) & (hot_x >= 0)
-            # two frequent words: their counts are here
-            c = pairs[hot_h[both] * (n + 1) + hot_x[both]] - m[both]
-            context = pairs[hot_h[both] * (n + 1) + n] - dh[both]
-            seen = c > 0
-            value = m[both] * np.where(seen, _log(c) - _log(context), ALPHA + _log(counts[hot_x[both]]) - np.log10(total))
-            if both.any():
-                rows.append((2, part, part, pack(*_sums(d[both], value, m[both] * seen))))
-            h, x, d, m, dh, hot_h = (a[~both] for a in (h, x, d, m, dh, hot_h))
-            bucket = _bucket(np.where(hot_h >= 0, mix(h) + x, h), n_buckets)
-            order = np.lexsort((x, h))
+            rows = []
+            hot_h, hot_x, first = _places(words, h), _places(words, x), h == _FIRST
+            here = (hot_x >= 0) & ((hot_h >= 0) | first)
+            if here.any():
+                # two frequent words, or a frequent first word: their counts are here
+                hh, xx, mm, ff = hot_h[here], hot_x[here], m[here], first[here]
+                c = np.where(ff, 0, pairs[np.maximum(hh, 0) * (n + 1) + xx] - mm)
+                context = pairs[np.maximum(hh, 0) * (n + 1) + n] - dh[here]
+                seen = c > 0
+                value = mm * np.where(seen, _log(c) - _log(context), np.where(ff, 0, ALPHA) + _log(counts[xx]) - np.log10(total))
+                rows.append((2, part, part, pack(*_sums(d[here], value, mm * seen))))
+            h, x, d, m, dh, hot_x = (a[~here] for a in (h, x, d, m, dh, hot_x))
+            bucket = _bucket(np.where(hot_x >= 0, mix(x) + h, x), n_buckets)
+            order = np.lexsort((h, x))
             rows += _by_bucket(0, bucket[order], part, h[order], x[order], d[order].astype("<u4"), m[order].astype("<u4"), dh[order].astype("<u4"))
-            if info:
-                cols = list(zip(*info))
-                rows.append((3, part, part, pack(np.array(cols[0], "<u4"), np.array(cols[1], "<i8"), np.array(cols[2], "<u1"), np.array(cols[3], "<u8"))))
-                info.clear()
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i : i + 64])
 
@@ -226,21 +237,19 @@ def _bigrams(shared, n_buckets: int, n_unigram: int):
                     start = np.flatnonzero(new_h | np.concatenate(([True], x[1:] != x[:-1]))) if len(h) else np.empty(0, np.int64)
                     m = np.diff(np.concatenate((start, [len(h)])))
                     dh = np.diff(np.concatenate((np.flatnonzero(new_h), [len(h)])))[np.cumsum(new_h)[start] - 1] if len(h) else m
-                    k = len(start) + 1
-                    first = np.zeros(k, bool)
-                    first[0] = True
                     join = lambda a, b: np.concatenate(([a], b)).astype(np.int64)
-                    held.append((np.concatenate((w[:1], h[start])), np.concatenate((w[:1], x[start])), np.full(k, doc), join(1, m), join(0, dh), first))
-                    size += k
+                    held.append((np.concatenate(([_FIRST], h[start])), np.concatenate((w[:1], x[start])), np.full(len(start) + 1, doc), join(1, m), join(0, dh)))
+                    size += len(start) + 1
                 doc += 1
-                if size > 2_000_000 or len(info) >= 500_000:
-                    yield from flush() if held else ()
+                if size > 1_500_000:
+                    yield from flush()
                     size = 0
+                if len(info) >= 100_000:
+                    yield _batch([_documents(part, info)])
         if held:
             yield from flush()
-        elif info:
-            cols = list(zip(*info))
-            yield _batch([(3, part, part, pack(np.array(cols[0], "<u4"), np.array(cols[1], "<i8"), np.array(cols[2], "<u1"), np.array(cols[3], "<u8")))])
+        if info:
+            yield _batch([_documents(part, info)])
 
     return run
 
@@ -266,44 +275,50 @@ def _sum_rows(part, doc, value, seen) -> list[tuple]:
 
 
 def _score_bigrams(shared, n_unigram: int):
+    """Bigrams of a partition to partial sums and contexts to ask for; rows of other kinds pass."""
+
     def run(t: pa.Table) -> pa.Table:
+        if t.column("kind")[0].as_py() != 0:
+            return t
         words, counts, total, pairs = shared.value
         n = len(words)
         part, (h, x, doc, m, dh) = _gather(t, _BIGRAM)
-        order = np.lexsort((x, h))
+        order = np.lexsort((h, x))
         part, h, x, doc, m, dh = (a[order] for a in (part, h, x, doc, m.astype(np.int64), dh.astype(np.int64)))
-        new_h = np.concatenate(([True], h[1:] != h[:-1]))
-        new = new_h | np.concatenate(([True], x[1:] != x[:-1]))
-        c = np.add.reduceat(m, np.flatnonzero(new))[np.cumsum(new) - 1] - m
-        hot_h = _places(words, h)
-        context = np.add.reduceat(m, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-        context = np.where(hot_h >= 0, pairs[np.maximum(hot_h, 0) * (n + 1) + n] if n else 0, context) - dh
-        seen, hot_x = c > 0, _places(words, x)
-        value = m * np.where(seen, _log(c) - _log(context), ALPHA)
-        known = ~seen & (hot_x >= 0)
+        new_x = np.concatenate(([True], x[1:] != x[:-1]))
+        new = new_x | np.concatenate(([True], h[1:] != h[:-1]))
+        first = h == _FIRST
+        c = np.where(first, 0, np.add.reduceat(m, np.flatnonzero(new))[np.cumsum(new) - 1] - m)
+        hot_x, hot_h = _places(words, x), _places(words, h)
+        word = np.add.reduceat(m, np.flatnonzero(new_x))[np.cumsum(new_x) - 1]
+        if n:
+            word = np.where(hot_x >= 0, counts[np.maximum(hot_x, 0)], word)
+        seen = c > 0
+        value = m * np.where(seen, _log(c), np.where(first, 0, ALPHA) + _log(word) - np.log10(total))
+        known = seen & (hot_h >= 0)
         if known.any():
-            value[known] += m[known] * (_log(counts[hot_x[known]]) - np.log10(total))
+            value[known] -= m[known] * _log(pairs[hot_h[known] * (n + 1) + n] - dh[known])
         rows = _sum_rows(part, doc, value, m * seen)
-        ask = ~seen & (hot_x < 0)
-        bucket = _bucket(x[ask], n_unigram)
+        ask = np.flatnonzero(seen & (hot_h < 0))
+        bucket = _bucket(h[ask], n_unigram)
         for p in np.unique(part[ask]):
             own = part[ask] == p
-            rows += _by_bucket(1, bucket[own], int(p), x[ask][own], doc[ask][own], m[ask][own].astype("<u4"))
+            i = ask[own]
+            by_h = np.argsort(h[i], kind="stable")
+            i = i[by_h]
+            rows += _by_bucket(1, bucket[own][by_h], int(p), h[i], doc[i], m[i].astype("<u4"), dh[i].astype("<u4"))
         return _table(rows)
 
     return run
 
 
-def _score_unigrams(total: int):
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return _table([])
-        keys, counts = unpack(known.column("data")[0].as_py(), "<u8", "<u8")
-        part, (x, doc, m) = _gather(asked, _ASKED)
-        value = m * (_log(counts[_places(keys, x)]) - np.log10(total))
-        return _table(_sum_rows(part, doc, value, np.zeros(len(m))))
-
-    return run
+def _score_contexts(asked: pa.Table, known: pa.Table) -> pa.Table:
+    if not asked.num_rows:
+        return _table([])
+    keys, _, contexts = unpack(known.column("data")[0].as_py(), "<u8", "<u8", "<u8")
+    part, (h, doc, m, dh) = _gather(asked, _ASKED)
+    value = -(m * _log(contexts[_places(keys, h)].astype(np.int64) - dh))
+    return _table(_sum_rows(part, doc, value, np.zeros(len(m))))
 
 
 def _finish(t: pa.Table) -> pa.Table:
@@ -338,12 +353,10 @@ def scores(docs: DataFrame) -> DataFrame:
         pairs[r.pair] = r.n
     shared = spark.sparkContext.broadcast((words, counts, max(total, 1), pairs))
     n_buckets = max(2 * shuffle_partitions(spark), -(-total // BUCKET_WORDS))
-    sent = materialize(rows.mapInArrow(_bigrams(shared, n_buckets, n_unigram), ROWS), "bigrams")
-    scored = materialize(sent.where("kind = 0").groupBy("bucket").applyInArrow(_score_bigrams(shared, n_unigram), ROWS), "bigram-scores")
-    asked = sent.where("kind = 1").unionByName(scored.where("kind = 1"))
-    rest = asked.groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInArrow(_score_unigrams(max(total, 1)), ROWS)
-    parts = sent.where("kind in (2, 3)").unionByName(scored.where("kind = 2")).unionByName(rest)
-    return parts.groupBy("part").applyInArrow(_finish, "doc_id long, n_words long, n_seen long, score double")
+    sent = rows.mapInArrow(_bigrams(shared, n_buckets), ROWS)
+    scored = materialize(sent.groupBy("kind", "bucket").applyInArrow(_score_bigrams(shared, n_unigram), ROWS), "bigram-scores")
+    rest = scored.where("kind = 1").groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInArrow(_score_contexts, ROWS)
+    return scored.where("kind in (2, 3)").unionByName(rest).groupBy("part").applyInArrow(_finish, "doc_id long, n_words long, n_seen long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
