@@ -173,9 +173,9 @@ def _frequent_pairs(shared):
 
 # --- 2: bigrams ----------------------------------------------------------------------------------
 
-# rows of kind 0: bigrams (h, x, document, times, context's times in it) by bucket; 1: contexts asked for (h, document, times,
-# context's times in it) by unigram bucket; 2: partial sums (document, sum, seen); 3: documents (document, doc_id, null, words)
-_BIGRAM, _ASKED, _SUM, _DOC = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4", "<u4"), ("<u4", "<f8", "<u4"), ("<u4", "<i8", "<u1", "<u8")
+# rows of kind 0: bigrams (h, x, document, times, context's times in it) by bucket; 1: contexts asked for (h, part, document,
+# times, context's times in it) by unigram bucket; 2: partial sums (document, sum, seen); 3: documents (document, doc_id, null, words)
+_BIGRAM, _ASKED, _SUM, _DOC = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4", "<u4", "<u4"), ("<u4", "<f8", "<u4"), ("<u4", "<i8", "<u1", "<u8")
 #: Stands for the context of a document's first word.
 _FIRST = np.uint64(1 << 48)
 
@@ -300,13 +300,8 @@ def _score_bigrams(shared, n_unigram: int):
             value[known] -= m[known] * _log(pairs[hot_h[known] * (n + 1) + n] - dh[known])
         rows = _sum_rows(part, doc, value, m * seen)
         ask = np.flatnonzero(seen & (hot_h < 0))
-        bucket = _bucket(h[ask], n_unigram)
-        for p in np.unique(part[ask]):
-            own = part[ask] == p
-            i = ask[own]
-            by_h = np.argsort(h[i], kind="stable")
-            i = i[by_h]
-            rows += _by_bucket(1, bucket[own][by_h], int(p), h[i], doc[i], m[i].astype("<u4"), dh[i].astype("<u4"))
+        ask = ask[np.argsort(h[ask], kind="stable")]
+        rows += _by_bucket(1, _bucket(h[ask], n_unigram), 0, h[ask], part[ask].astype("<u4"), doc[ask], m[ask].astype("<u4"), dh[ask].astype("<u4"))
         return _table(rows)
 
     return run
@@ -316,7 +311,7 @@ def _score_contexts(asked: pa.Table, known: pa.Table) -> pa.Table:
     if not asked.num_rows:
         return _table([])
     keys, _, contexts = unpack(known.column("data")[0].as_py(), "<u8", "<u8", "<u8")
-    part, (h, doc, m, dh) = _gather(asked, _ASKED)
+    _, (h, part, doc, m, dh) = _gather(asked, _ASKED)
     value = -(m * _log(contexts[_places(keys, h)].astype(np.int64) - dh))
     return _table(_sum_rows(part, doc, value, np.zeros(len(m))))
 
@@ -341,7 +336,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_seen (bigrams that other documents have), score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_unigram = 2 * shuffle_partitions(spark)
+    n_unigram = shuffle_partitions(spark)
     unigrams = materialize(rows.mapInArrow(_unigrams(n_unigram), ROWS).groupBy("bucket").applyInArrow(_sum_unigrams, UNIGRAMS), "unigrams")
     total = unigrams.agg(F.sum("words").alias("n")).first().n or 0
     found = unigrams.where(F.col("top") >= max(2, total // FREQUENT)).select("data").mapInArrow(_frequent(max(2, -(-total // FREQUENT))), "word long, n long").collect()  # FREQUENT rows at most
