@@ -544,7 +544,24 @@ on_parts("pagerank_top", using(_PR + "SELECT id, round(rank, 9) AS rank FROM pr
 )
 
 
-@on_parts("betweenness")
+_BC = (
+    _BFS
+    + """
+, t0 AS MATERIALIZED (SELECT id, depth FROM tree), sig(id, depth, paths) AS (
+  SELECT id, depth, 1.0::DOUBLE FROM t0 WHERE depth = 0
+  UNION ALL
+  SELECT t0.id, t0.depth, sum(s.paths) FROM sig s JOIN e ON e.src = s.id JOIN t0 ON t0.id = e.dst AND t0.depth = s.depth + 1 GROUP BY 1, 2
+), sg AS MATERIALIZED (SELECT * FROM sig), dl(id, depth, paths, delta) AS (
+  SELECT id, depth, paths, 0.0::DOUBLE FROM sg WHERE depth = (SELECT max(depth) FROM sg)
+  UNION ALL
+  SELECT v.id, v.depth, v.paths, coalesce(sum(v.paths / c.paths * (1 + c.delta)), 0) FROM (SELECT max(depth) - 1 AS k FROM dl) m JOIN sg v ON v.depth = m.k
+  LEFT JOIN (SELECT e.src, dl.paths, dl.delta FROM e JOIN dl ON dl.id = e.dst) c ON c.src = v.id GROUP BY 1, 2, 3
+), score AS (SELECT id, CASE WHEN depth = 0 THEN 0 ELSE delta END AS s FROM dl)
+SELECT deg.id, round(coalesce(s, 0) / (SELECT max(s) FROM score), 6) AS score FROM deg LEFT JOIN score ON score.id = deg.id"""
+)
+
+
+@on_parts("betweenness", using(_BC, recursive=True))
 def _bc(g: Graph) -> DataFrame:
     g = g.kept()
     return traverse.betweenness(g, [traverse.source(g)]).select("id", F.round("score", 6).alias("score"))
