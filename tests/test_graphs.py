@@ -58,7 +58,7 @@ def test_orders_cores_and_greedy_colors(spark, name):
 
 @pytest.mark.parametrize("scheme", [color.johansson, color.barenboim, color.elkin, color.dense_sparse, color.jones_plassmann, color.dynamic])
 def test_colorings_are_proper(spark, scheme):
-    for name in ("kc4b", "triangles_3"):
+    for name in ("kc4b", "three_triangles"):
         g = graph(spark, name)
         row = color.valid(g, scheme(g)).first()
         assert (row.n, row.uncolored, row.conflicts, row.within_max_degree) == (COUNTS[name][0], 0, 0, True)
@@ -67,8 +67,8 @@ def test_colorings_are_proper(spark, scheme):
 def test_pattern_counts_and_automorphisms(spark):
     from itertools import permutations
 
-    g = graph(spark, "eppstein")
-    linked = {frozenset(map(int, e.split("-"))) for e in EDGES["eppstein"].split()}
+    g = graph(spark, "nine_vertices")
+    linked = {frozenset(map(int, e.split("-"))) for e in EDGES["nine_vertices"].split()}
     for name in ("path3", "cycle4", "diamond", "star3"):
         edges = pattern.PATTERNS[name]
         k = 1 + max(v for e in edges for v in e)
@@ -101,7 +101,7 @@ def test_pagerank_and_betweenness(spark):
 def test_shortest_paths_against_dijkstra(spark):
     import heapq
 
-    g = graph(spark, "eppstein")
+    g = graph(spark, "nine_vertices")
     weights = [(r.src, r.dst, 1 + (r.src * r.dst) % 7) for r in g.edges.collect()]
     dist, heap = {}, [(0, 0)]
     while heap:
