@@ -584,3 +584,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS sh FROM d WHERE len(w) > 0
+  )
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), cc(id, label) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT z.id, z.c FROM (SELECT l.y AS id, min(cc.label) AS c FROM cc JOIN l ON l.x = cc.id GROUP BY 1) z JOIN recurring.cc o ON o.id = z.id AND z.c < o.label
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, label AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN cc ON cc.id = d.doc_id
+"""

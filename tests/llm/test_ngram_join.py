@@ -105,3 +105,9 @@ def test_word_hashes_are_of_words():
     text = " \t".join(words) + "\x0b\n"
     assert word_hashes(("  " + text).encode()).tolist() == h
     assert word_hashes(b"") .size == 0 and word_hashes(b" \n").size == 0
+
+
+def test_oracle(spark):
+    from tests.helpers import check
+
+    assert check(spark, ngram_join.query, ngram_join.ORACLE_SQL) == 200
