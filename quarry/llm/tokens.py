@@ -25,9 +25,11 @@ PIECES = {
     "byte_bpe_50k.json": re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{LETTERS}{NUMBERS}{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
     "word_bpe_49k.json": re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"),
 }
+#: Pieces that stay one pre-token when a space stands before them.
+PLAIN = re.compile(f" ?[{LETTERS}]+")
 LOWER_FIRST = {"word_bpe_49k.json"}
 #: Distinct pre-tokens remembered per worker, a bound on its memory; later ones are encoded each time.
-REMEMBERED = 700_000
+REMEMBERED = 1_100_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -49,6 +51,20 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words that the pre-tokenizer keeps whole, each behind `lead`, encoded together and told apart by their numbers."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            e = self.tokenizer.encode(lead.join(["", *some]), add_special_tokens=False)
+            word, ids = np.asarray(e.word_ids, np.int64), np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True]))) * 4
+            raw = ids.tobytes()
+            if len(cuts) != len(some) + 1:
+                return self._library([lead + w for w in words])
+            out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return out
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -59,7 +75,11 @@ class Encoder:
         ids = list(map(self.known.get, found))
         if None in ids:
             new = list({p for p, i in zip(found, ids) if i is None})
-            fresh = dict(zip(new, self._library(new)))
+            plain = [p for p in new if PLAIN.fullmatch(p)]
+            plain = [p for p in plain if (p[0] == " ") != self.lower]
+            other = list(set(new).difference(plain))
+            fresh = dict(zip(plain, self._words([p if self.lower else p[1:] for p in plain], " ")))
+            fresh.update(zip(other, self._library(other)))
             if len(self.known) < REMEMBERED:
                 self.known.update(fresh)
             ids = [fresh[p] if i is None else i for p, i in zip(found, ids)]
