@@ -36,8 +36,15 @@ BROADCAST_ROWS = 400_000
 SALTS = 16
 
 
+# Fixed value: code points other than those (of Latin-1 and some punctuation) on which lower() changes A-Z alone.
+CAPITALS = r"[^\x00-\xBF\xD7\xDF-\xFF\u2010-\u2027\u20AC]"
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
+    """Words with A-Z lower-cased: by lower() where it does just that, which is several times faster than translate()."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    small_letters = F.when(t.rlike(CAPITALS), F.translate(t, UPPER, LOWER)).otherwise(F.lower(t))
+    return F.regexp_extract_all(small_letters, F.lit(WORD), F.lit(0))
 
 
 def text_key(text: Column) -> Column:
@@ -83,11 +90,11 @@ def places(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
     """
     widths = sorted(r.width for r in item_shingles.select("width").distinct().collect())  # at most SHINGLE values
     wanted = item_shingles.select("sh").distinct().unionByName(docs.sparkSession.createDataFrame([(_SENTINEL,)], "sh long"))
-    df = docs.select("doc_id", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
+    df = docs.select("doc_id", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     parts = []
     for k in widths or [SHINGLE]:
         head = F.array(F.lit(_SENTINEL).cast("long")) if k == (widths or [SHINGLE])[0] else F.array(F.lit(0).cast("long"))
-        parts.append(df.select("doc_id", "key", F.size("w").alias("n_words"), F.posexplode(F.concat(head, _shingles("w", k))).alias("pos", "sh")))
+        parts.append(df.select("doc_id", "key", "n_words", F.posexplode(F.concat(head, _shingles("w", k))).alias("pos", "sh")))
     return reduce(DataFrame.unionByName, parts).join(small(wanted), "sh").select("doc_id", "key", "n_words", "sh", (F.col("pos") - 1).alias("pos"))
 
 
