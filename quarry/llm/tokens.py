@@ -29,7 +29,7 @@ PIECES = {
 PLAIN = re.compile(f" ?[{LETTERS}]+")
 LOWER_FIRST = {"word_bpe_49k.json"}
 #: Distinct pre-tokens remembered per worker, a bound on its memory; later ones are encoded each time.
-REMEMBERED = 1_100_000
+REMEMBERED = 900_000
 
 _encoders: dict[str, Encoder] = {}
 
