@@ -111,3 +111,12 @@ def test_oracle(spark):
     from tests.helpers import check
 
     assert check(spark, ngram_join.query, ngram_join.ORACLE_SQL) == 200
+
+
+def test_drift_chain_of_500_texts_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 500)
+    ids = np.random.default_rng(9).permutation(500)
+    rows = [(int(d), " ".join(f"v{6 * i + k}" for k in range(54))) for i, d in enumerate(ids)]
+    want = brute(rows)
+    assert {w[3] for w in want} == {0}
+    assert result(spark, rows)[1] == want
