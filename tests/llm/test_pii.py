@@ -117,3 +117,11 @@ def test_no_value_of_the_table_is_left(spark):
         assert not [v for v in before if v in r.text]
         if not any(r[f"n_{k}"] for k in pii.KINDS):
             assert r.text == texts[r.doc_id]
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    long, late = "a1B2" * 200, "x" * 150 + "1234" + "y" * 12
+    got = one(spark, [f"key {long} end", f"key {late} end", "z" * 3000, "w7" * 20000])
+    assert got[0][0] == f"key {feistel(long, 'secret')} end" and got[1][0] == f"key {feistel(late, 'secret')} end"
+    assert got[2] == ("z" * 3000, []) and got[3][0] == feistel("w7" * 20000, "secret")
+    assert [got[i][1] for i in range(4)] == [["secret"], ["secret"], [], ["secret"]]
