@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import choice, h, h2
 from quarry.operators.components import components
-from quarry.operators.graph import Graph
+from quarry.operators.graph import Graph, rounds
 from quarry.storage import drop, materialize
 
 
@@ -22,7 +22,7 @@ def _smallest_free(used: Column) -> Column:
     return F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), F.size(used).cast("long") + 1), used))
 
 
-def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """First-fit colours in rounds: a vertex takes the smallest colour its neighbours lack once all neighbours of higher priority have theirs.
 
     priority(id, p1, p2): compared as a pair, all different. The result equals greedy colouring in falling priority. `colored` fixes some vertices beforehand.
@@ -36,7 +36,7 @@ def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None,
     # an arc from each vertex to a neighbour it waits for
     waits = e.join(fixed, "dst", "left").where((F.col("pd") > F.col("ps")) | F.col("fixed")).select("src", "dst")
     waits = materialize(waits.join(todo.withColumnRenamed("id", "src"), "src", "left_semi"), "color-waits")
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         if todo.isEmpty():
             break
         state = waits.join(known.select(F.col("id").alias("dst"), "color"), "dst", "left").groupBy(F.col("src").alias("id"))
@@ -122,14 +122,14 @@ def _resolve(tried: DataFrame, edges: DataFrame, known: DataFrame, both_fail: bo
     return free.join(lost, "id", "left_anti").select("id", "color")
 
 
-def johansson(g: Graph, seed: int = 0, max_rounds: int = 500) -> DataFrame:
+def johansson(g: Graph, seed: int = 0, max_rounds: int | None = None) -> DataFrame:
     """Every vertex left tries a hashed colour of 1..max degree + 1 each round and keeps it unless a neighbour has or tries it."""
     edges = materialize(g.edges, "color-edges")
     top = g.degrees().agg(F.max("degree").alias("d")).first().d or 0
     ids = materialize(g.vertices, "color-todo")
     known = materialize(ids.select("id", F.lit(0).cast("long").alias("color")).limit(0), "colors")
     todo = ids
-    for round_ in range(max_rounds):
+    for round_ in rounds(max_rounds):
         if todo.isEmpty():
             break
         tried = todo.select("id", (choice(h2(F.col("id"), F.lit(round_), seed), top + 1) + 1).alias("color"))

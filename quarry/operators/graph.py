@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,12 @@ from pyspark.sql.window import Window
 from quarry.storage import materialize
 
 
+def rounds(limit: int | None) -> Iterator[int]:
+    """0, 1, 2, ... for a loop that breaks at its fixpoint; raises where a limit given is passed with work left."""
+    yield from itertools.count() if limit is None else range(limit + 1)
+    raise RuntimeError(f"not done after {limit} rounds")
+
+
 def normalise(pairs: DataFrame) -> DataFrame:
     """Any pairs (src, dst) to half edges: no loops, each undirected edge once, src < dst."""
     return pairs.where("src <> dst").select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions.hashing import h
-from quarry.operators.graph import Graph, numbered
+from quarry.operators.graph import Graph, numbered, rounds
 from quarry.storage import drop, materialize
 
 
@@ -47,12 +47,12 @@ def permuted(arcs: DataFrame, end: str = "out", descending: bool = False) -> Dat
 # --- peeling ---------------------------------------------------------------------------------
 
 
-def core_numbers(g: Graph, max_rounds: int = 1000) -> DataFrame:
+def core_numbers(g: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, core): the h-index of the neighbours' values, from the degrees down to the fixpoint."""
     edges = materialize(g.edges, "core-edges")
     values = materialize(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")).withColumn("moved", F.lit(True)), "core")
     by_value = Window.partitionBy("src").orderBy(F.col("core").desc())
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         near = edges.join(values.select(F.col("id").alias("dst"), "core"), "dst")
         ranked = near.withColumn("k", F.least(F.row_number().over(by_value).cast("long"), F.col("core")))
         new = ranked.groupBy(F.col("src").alias("id")).agg(F.max("k").alias("new"))
