@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: While it is true, a query's shuffle files go as soon as the query ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, **by_name: str):
+    """The session's settings while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in by_name}
+    for k, v in by_name.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files are removed at its end, as nothing reads them any more: the disks of executors hold one
+    step's shuffles at a time.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with settings(spark, **{CLEANUP: "true"}):
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
