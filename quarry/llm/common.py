@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.storage import drop, materialize, remove, shared_dir, shared_path
+from quarry.storage import drop, materialize, remove, settings, shared_dir, shared_path
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tables of a few numbers a row are broadcast up to this many rows, a bound of some tens of MB; beyond it joins shuffle.
 BROADCAST_ROWS = 400_000
 
-__all__ = ["BROADCAST_ROWS", "DOCUMENT_COLUMNS", "drop", "materialize", "mix", "remove", "shared_dir", "shared_path", "shingle_hashes", "shuffle_partitions", "small", "table", "word_hashes"]
+__all__ = ["BROADCAST_ROWS", "DOCUMENT_COLUMNS", "drop", "materialize", "mix", "release", "remove", "settings", "shared_dir", "shared_path", "shingle_hashes", "shuffle_partitions", "small", "table", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system, as Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 # --- words as 64-bit hashes, vectorised over the bytes of a whole text -------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

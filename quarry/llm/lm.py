@@ -1,24 +1,25 @@
-"""Stupid-backoff scores of all documents under the corpus's own bigrams.
+"""Stupid-backoff scores of all documents under the corpus's own bigrams, computed relationally.
 
 S(w | h) is c(h w) / c(h .) over the other documents if any of them has h w, else 0.4 * c(w) / N; a
 document's first word scores c(w) / N. c(h .) counts h where a word follows; c(w) and N count all
 words of the corpus. A document's score is the mean of log10 S over its words.
 
-The n-gram counts are tables partitioned by hash, and the documents' n-grams, exploded and summed
-per document, are joined to them there:
+1. The unigram table (word, n, follows) counts all words. Words with at least 1/`FREQUENT` of all
+   occurrences, so at most `FREQUENT`, get short numbers, and their counts are broadcast.
+2. Documents are exploded into rows (document, h, w, times), a row per distinct bigram of a document.
+   Rows are dealt by a hash of the word, or of the whole bigram if the word is frequent; a bigram with
+   at least 1/`PAIRED` of all occurrences (at most `PAIRED` of them, counted beforehand among words
+   that are as frequent) brings its count along and is dealt by document. So no hash partition gets
+   more than a small share through one word or bigram, at any size.
+3. In the hash partitions the rows are summed to the bigram table (h, w, c, and w's own count), which
+   is joined to the rows where they lie. What is left open, the count of a context that is not
+   frequent, is joined from the unigram table. Terms are summed per document before each shuffle.
 
-1. unigram counts, summed by hash partition. Words with at least 1/1000 of all occurrences, at most
-   1000, are frequent; they and the counts of pairs of them are known to every task.
-2. every document sends its distinct bigrams to the partition of the second word, or of the whole
-   bigram if that word is frequent; bigrams of two frequent words are scored where they are. So no
-   partition gets more than a small share through one word or pair. A partition counts its bigrams
-   and words, which gives all scores but the counts of contexts that are not frequent, and asks the
-   unigram partitions for those.
-3. partial sums go back to the partition of the document and are added there.
+Step 2 runs in `SLICES` slices of the hash, so that executors' disks hold one slice's rows at a time.
 
-N-grams travel as arrays, sorted and compressed, not as rows. Words are runs other than space and
-0x09-0x0D with A-Z lower-cased, as 48-bit hashes, so that at 10 million words no two are expected to
-be mixed up.
+Words are runs other than space and 0x09-0x0D with A-Z lower-cased, as 48-bit hashes, so that at 10
+million words no two are expected to be mixed up. A document is named by its doc_id and its text's
+hash; rows equal in both share a name, and their sums are divided among them.
 
 Defined results: null, empty and blank texts have no words and a null score; a text of one word has
 its unigram score; repeated rows are documents of their own, and see each other's bigrams; a null
@@ -33,325 +34,237 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, mix, shuffle_partitions, table, word_hashes
+from quarry.llm.common import drop, materialize, mix, release, settings, table, word_hashes
 
-ALPHA = np.log10(0.4)
-FREQUENT = 1000
-BUCKET_WORDS = 1_500_000
-_MASK = np.uint64((1 << 48) - 1)
-_ZSTD = pa.Codec("zstd", compression_level=1)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed bytes, byte by byte of significance, which suits sorted numbers."""
-    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
-
-
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(_ZSTD.decompress(data[8:], size), np.uint8) if size else np.empty(0, np.uint8)
-    widths = [np.dtype(k).itemsize for k in kinds]
-    n, at, out = len(raw) // sum(widths), 0, []
-    for k, w in zip(kinds, widths):
-        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).reshape(n))
-        at += n * w
-    return out
+ALPHA = 0.4
+#: Words with 1/FREQUENT of all occurrences are frequent: FREQUENT rows of three numbers at most are broadcast.
+FREQUENT = 100_000
+#: Bigrams with 1/PAIRED of all occurrences bring their count along: PAIRED rows of two numbers at most are broadcast.
+PAIRED = 10_000
+SLICES = 2
+#: Stands for the context of a document's first word; hashes of words are below it, numbers of frequent words below 0.
+FIRST = 1 << 48
+_MASK = np.uint64(FIRST - 1)
+#: Words that a task gathers before it counts them.
+HELD = 1_500_000
 
 
 def words_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass")) & _MASK
 
 
-def _bucket(x: np.ndarray, n: int) -> np.ndarray:
-    return (mix(x) % np.uint64(n)).astype(np.int64)
-
-
-ROWS = "kind int, bucket long, part long, data binary"
-_TYPES, _NAMES = [pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["kind", "bucket", "part", "data"]
-
+def _places(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each x is in the sorted keys, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == x, at, -1)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
+def _chunks(columns: list, names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+    for i in range(0, whole.num_rows, rows):
+        yield whole.slice(i, rows)
 
-def _by_bucket(kind: int, bucket: np.ndarray, part: int, *arrays: np.ndarray) -> list[tuple]:
-    """A row per bucket with its share of the arrays, which keep their order."""
-    if not len(bucket):
-        return []
-    order = np.argsort(bucket, kind="stable")
-    bucket, arrays = bucket[order], [a[order] for a in arrays]
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    return [(kind, int(bucket[i]), part, pack(*(a[i:j] for a in arrays))) for i, j in zip(cuts[:-1], cuts[1:])]
 
+# --- 1: unigrams, frequent words and frequent bigrams --------------------------------------------
 
-# --- 1: unigrams, frequent words and their pairs ------------------------------------------------
+UNIGRAMS = "word long, n long, ends long"
 
 
-def _unigrams(n_buckets: int):
+def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and how often they end a document."""
+    waiting, last, held = [], [], 0
+
+    def flush():
+        keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        ends = np.bincount(np.searchsorted(keys, np.concatenate(last)), minlength=len(keys))
+        waiting.clear()
+        last.clear()
+        yield from _chunks([keys.astype(np.int64), counts.astype(np.int64), ends.astype(np.int64)], ["word", "n", "ends"])
+
+    for batch in batches:
+        for text in batch.column(2):
+            w = words_of(text.as_py())
+            waiting.append(w)
+            last.append(w[-1:])
+            held += len(w)
+            if held > 2 * HELD:
+                yield from flush()
+                held = 0
+    if held:
+        yield from flush()
+    release()
+
+
+def _pairs(shared):
+    """Counts of pairs of the given words, named by their places: h << 20 | w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, last, held = [], [], 0
+        words, waiting, held = shared.value, [], 0
 
         def flush():
-            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            ends = np.bincount(np.searchsorted(keys, np.concatenate(last)), minlength=len(keys))
+            pairs, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            last.clear()
-            rows = _by_bucket(0, _bucket(keys, n_buckets), 0, keys, counts.astype("<u4"), ends.astype("<u4"))
-            for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+            yield from _chunks([pairs, n.astype(np.int64)], ["pair", "n"])
 
         for batch in batches:
-            for text in batch.column(1):
-                w = words_of(text.as_py())
-                waiting.append(w)
-                last.append(w[-1:])
-                held += len(w)
-                if held > 3_000_000:
+            for text in batch.column(2):
+                p = _places(words, words_of(text.as_py()))
+                both = (p[:-1] >= 0) & (p[1:] >= 0)
+                waiting.append(p[:-1][both] << 20 | p[1:][both])
+                held += len(waiting[-1])
+                if held > 2 * HELD:
                     yield from flush()
                     held = 0
         if held:
             yield from flush()
+        release()
 
     return run
 
 
-UNIGRAMS = "bucket long, words long, top long, data binary"
-
-
-def _sum_unigrams(t: pa.Table) -> pa.Table:
-    got = [unpack(d.as_py(), "<u8", "<u4", "<u4") for d in t.column("data")]
-    keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    counts, ends = (np.bincount(inverse, weights=np.concatenate([g[i] for g in got])).astype("<u8") for i in (1, 2))
-    one = lambda x, kind: pa.array([x], kind)
-    return pa.table({"bucket": one(t.column("bucket")[0].as_py(), pa.int64()), "words": one(int(counts.sum()), pa.int64()), "top": one(int(counts.max()), pa.int64()), "data": one(pack(keys, counts, counts - ends), pa.binary())})
+# --- 2: documents' bigrams as rows ----------------------------------------------------------------
 
+BIGRAMS = "k int, w long, h long, doc_id long, text_hash long, n int, nh int, known long"
+_NAMES = [x.split()[0] for x in BIGRAMS.split(", ")]
 
-def _frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                keys, counts, _ = unpack(data.as_py(), "<u8", "<u8", "<u8")
-                take = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take].astype(np.int64)), pa.array(counts[take].astype(np.int64))], ["word", "n"])
 
-    return run
+def _in_text(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A text's distinct bigrams: h, w, times, and times of h as a context; first the word at its beginning."""
+    h, w = codes[:-1], codes[1:]
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    new_h = np.ones(len(h), bool)
+    new_h[1:] = h[1:] != h[:-1]
+    new = new_h.copy()
+    new[1:] |= w[1:] != w[:-1]
+    start = np.flatnonzero(new)
+    n = np.diff(np.append(start, len(h)))
+    nh = np.diff(np.append(np.flatnonzero(new_h), len(h)))[np.cumsum(new_h)[start] - 1] if len(h) else n
+    return np.append(FIRST, h[start]), np.append(codes[:1], w[start]), np.append(1, n), np.append(0, nh)
 
 
-def _places(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where each x is in the sorted keys, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == x, at, -1)
+def _bigrams(shared, part: int, parts: int):
+    """The documents' bigrams in slice `part` of `parts`: the columns of BIGRAMS.
 
+    k deals the rows; frequent words are numbered -1, -2, ...; `known` is c(h w) of a frequent bigram, else 0.
+    """
 
-def _frequent_pairs(shared):
-    """Counts of pairs of frequent words, and, under the word with itself beyond them, of contexts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _ = shared.value
-        n = len(words)
-        counts = np.zeros(n * (n + 1), np.int64)
-        for batch in batches:
-            for text in batch.column(1):
-                p = _places(words, words_of(text.as_py()))
-                h, x = p[:-1], p[1:]
-                both = (h >= 0) & (x >= 0)
-                pairs, m = np.unique(h[both] * (n + 1) + x[both], return_counts=True)
-                counts[pairs] += m
-                context, m = np.unique(h[h >= 0], return_counts=True)
-                counts[context * (n + 1) + n] += m
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pair", "n"])
-
-    return run
-
-
-# --- 2: bigrams ----------------------------------------------------------------------------------
-
-# rows of kind 0: bigrams (h, x, document, times, context's times in it) by bucket; 1: contexts asked for (h, part, document,
-# times, context's times in it) by unigram bucket; 2: partial sums (document, sum, seen); 3: documents (document, doc_id, null, words)
-_BIGRAM, _ASKED, _SUM, _DOC = ("<u8", "<u8", "<u4", "<u4", "<u4"), ("<u8", "<u4", "<u4", "<u4", "<u4"), ("<u4", "<f8", "<u4"), ("<u4", "<i8", "<u1", "<u8")
-#: Stands for the context of a document's first word.
-_FIRST = np.uint64(1 << 48)
-
-
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(x, 1).astype(np.float64))
-
-
-def _sums(doc: np.ndarray, value: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
-    own, inverse = np.unique(doc, return_inverse=True)
-    return [own.astype("<u4"), np.bincount(inverse, weights=value).astype("<f8"), np.bincount(inverse, weights=seen).astype("<u4")]
-
-
-def _documents(part: int, info: list[tuple]) -> tuple:
-    cols = list(zip(*info))
-    info.clear()
-    return (3, part, part, pack(np.array(cols[0], "<u4"), np.array(cols[1], "<i8"), np.array(cols[2], "<u1"), np.array(cols[3], "<u8")))
-
-
-def _bigrams(shared, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, counts, total, pairs = shared.value
-        n, part, doc = len(words), TaskContext.get().partitionId(), 0
-        held, size = [], 0
-        info: list[tuple] = []
+        words, pairs, counts = shared.value
+        held, names, size = [], [], 0
 
         def flush():
-            h, x, d, m, dh = (np.concatenate(c) for c in zip(*held))
+            h, w, n, nh = (np.concatenate(c) for c in zip(*held))
+            doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+            ids, hashes = pa.array([x[0] for x in names], pa.int64()), np.array([x[1] for x in names], np.int64)
             held.clear()
-            rows = []
-            hot_h, hot_x, first = _places(words, h), _places(words, x), h == _FIRST
-            here = (hot_x >= 0) & ((hot_h >= 0) | first)
-            if here.any():
-                # two frequent words, or a frequent first word: their counts are here
-                hh, xx, mm, ff = hot_h[here], hot_x[here], m[here], first[here]
-                c = np.where(ff, 0, pairs[np.maximum(hh, 0) * (n + 1) + xx] - mm)
-                context = pairs[np.maximum(hh, 0) * (n + 1) + n] - dh[here]
-                seen = c > 0
-                value = mm * np.where(seen, _log(c) - _log(context), np.where(ff, 0, ALPHA) + _log(counts[xx]) - np.log10(total))
-                rows.append((2, part, part, pack(*_sums(d[here], value, mm * seen))))
-            h, x, d, m, dh, hot_x = (a[~here] for a in (h, x, d, m, dh, hot_x))
-            bucket = _bucket(np.where(hot_x >= 0, mix(x) + h, x), n_buckets)
-            order = np.lexsort((h, x))
-            rows += _by_bucket(0, bucket[order], part, h[order], x[order], d[order].astype("<u4"), m[order].astype("<u4"), dh[order].astype("<u4"))
-            for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+            names.clear()
+            at = np.where((h < 0) & (w < 0), _places(pairs, (-h - 1) << 20 | (-w - 1)), -1)
+            both = mix(w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h.astype(np.uint64))
+            code = np.where(at >= 0, mix(hashes.astype(np.uint64)[doc] + both), np.where(w < 0, both, mix(w.astype(np.uint64))))
+            own = (code >> np.uint64(40)) % np.uint64(parts) == part
+            take = lambda x: x[own]
+            known = np.where(at >= 0, counts[np.maximum(at, 0)] if len(counts) else 0, 0)
+            k = (code & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            yield from _chunks([take(k), take(w), take(h), ids.take(pa.array(take(doc))), hashes[take(doc)], take(n).astype(np.int32), take(nh).astype(np.int32), take(known)], _NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = words_of(text.as_py())
-                info.append((doc, doc_id or 0, doc_id is None, len(w)))
-                if len(w):
-                    h, x = w[:-1], w[1:]
-                    order = np.lexsort((x, h))
-                    h, x = h[order], x[order]
-                    new_h = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.empty(0, bool)
-                    start = np.flatnonzero(new_h | np.concatenate(([True], x[1:] != x[:-1]))) if len(h) else np.empty(0, np.int64)
-                    m = np.diff(np.concatenate((start, [len(h)])))
-                    dh = np.diff(np.concatenate((np.flatnonzero(new_h), [len(h)])))[np.cumsum(new_h)[start] - 1] if len(h) else m
-                    join = lambda a, b: np.concatenate(([a], b)).astype(np.int64)
-                    held.append((np.concatenate(([_FIRST], h[start])), np.concatenate((w[:1], x[start])), np.full(len(start) + 1, doc), join(1, m), join(0, dh)))
-                    size += len(start) + 1
-                doc += 1
-                if size > 1_500_000:
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                x = words_of(text.as_py())
+                if len(x):
+                    at = _places(words, x)
+                    held.append(_in_text(np.where(at >= 0, -at - 1, x.astype(np.int64))))
+                    names.append((doc_id, text_hash))
+                    size += len(held[-1][0])
+                if size > HELD:
                     yield from flush()
                     size = 0
-                if len(info) >= 100_000:
-                    yield _batch([_documents(part, info)])
         if held:
             yield from flush()
-        if info:
-            yield _batch([_documents(part, info)])
+        release()
 
     return run
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
-
-
-def _gather(t: pa.Table, kinds: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The rows' arrays, one after another, and the part that each value is from."""
-    got = [unpack(d.as_py(), *kinds) for d in t.column("data")]
-    part = np.repeat(np.array(t.column("part").to_pylist(), np.int64), [len(g[0]) for g in got])
-    return part, [np.concatenate([g[i] for g in got]) for i in range(len(kinds))]
-
-
-def _sum_rows(part, doc, value, seen) -> list[tuple]:
-    rows = []
-    for p in np.unique(part):
-        own = part == p
-        rows.append((2, int(p), int(p), pack(*_sums(doc[own], value[own], seen[own]))))
-    return rows
-
-
-def _score_bigrams(shared, n_unigram: int):
-    """Bigrams of a partition to partial sums and contexts to ask for; rows of other kinds pass."""
-
-    def run(t: pa.Table) -> pa.Table:
-        if t.column("kind")[0].as_py() != 0:
-            return t
-        words, counts, total, pairs = shared.value
-        n = len(words)
-        part, (h, x, doc, m, dh) = _gather(t, _BIGRAM)
-        order = np.lexsort((h, x))
-        part, h, x, doc, m, dh = (a[order] for a in (part, h, x, doc, m.astype(np.int64), dh.astype(np.int64)))
-        new_x = np.concatenate(([True], x[1:] != x[:-1]))
-        new = new_x | np.concatenate(([True], h[1:] != h[:-1]))
-        first = h == _FIRST
-        c = np.where(first, 0, np.add.reduceat(m, np.flatnonzero(new))[np.cumsum(new) - 1] - m)
-        hot_x, hot_h = _places(words, x), _places(words, h)
-        word = np.add.reduceat(m, np.flatnonzero(new_x))[np.cumsum(new_x) - 1]
-        if n:
-            word = np.where(hot_x >= 0, counts[np.maximum(hot_x, 0)], word)
-        seen = c > 0
-        value = m * np.where(seen, _log(c), np.where(first, 0, ALPHA) + _log(word) - np.log10(total))
-        known = seen & (hot_h >= 0)
-        if known.any():
-            value[known] -= m[known] * _log(pairs[hot_h[known] * (n + 1) + n] - dh[known])
-        rows = _sum_rows(part, doc, value, m * seen)
-        ask = np.flatnonzero(seen & (hot_h < 0))
-        ask = ask[np.argsort(h[ask], kind="stable")]
-        rows += _by_bucket(1, _bucket(h[ask], n_unigram), 0, h[ask], part[ask].astype("<u4"), doc[ask], m[ask].astype("<u4"), dh[ask].astype("<u4"))
-        return _table(rows)
+# --- 3: joins with the count tables ---------------------------------------------------------------
 
-    return run
+DOCUMENT = ["doc_id", "text_hash"]
+
+
+def _count_table(rows: DataFrame) -> DataFrame:
+    """(k, w, h, c, cw): counts of the bigrams and of their words, in the rows' own hash partitions."""
+    grams = rows.where("known = 0").groupBy("k", "w", "h").agg(F.sum("n").alias("c"))
+    return grams.withColumn("cw", F.sum("c").over(Window.partitionBy("k", "w").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
+def _terms(rows: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
+    """Per document, and per context that is not frequent: sums of words, first words, seen bigrams and terms.
+
+    `context` is null where nothing is left open; else `times` bigrams wait for log10(c(context .) - nh).
+    """
+    of_word = F.broadcast(frequent.select(F.col("id").alias("w"), F.col("n").alias("fw")))
+    of_context = F.broadcast(frequent.select(F.col("id").alias("h"), F.col("follows").alias("fh")))
+    df = rows.join(_count_table(rows), ["k", "w", "h"], "left").join(of_word, "w", "left").join(of_context, "h", "left")
+    first = F.col("h") == FIRST
+    others = F.when(first, F.lit(0)).otherwise(F.when(F.col("known") > 0, F.col("known")).otherwise(F.col("c")) - F.col("n"))
+    df = df.select(*DOCUMENT, "h", "n", "nh", "fh", first.alias("first"), others.alias("others"), F.coalesce("fw", "cw").alias("cw"))
+    seen = F.col("others") > 0
+    back = F.log10("cw") - F.lit(float(np.log10(max(total, 1)))) + F.when(F.col("first"), F.lit(0.0)).otherwise(F.lit(float(np.log10(ALPHA))))
+    known = F.when(F.col("fh").isNotNull(), F.log10(F.greatest(F.col("fh") - F.col("nh"), F.lit(1)))).otherwise(F.lit(0.0))
+    value = F.col("n") * F.when(seen, F.log10("others") - known).otherwise(back)
+    wait = seen & F.col("fh").isNull()
+    df = df.select(*DOCUMENT, F.when(wait, F.col("h")).alias("context"), F.when(wait, F.col("nh")).alias("nh"), "n", F.col("first").cast("int").alias("first"), F.when(seen, F.col("n")).otherwise(F.lit(0)).alias("seen"), value.alias("value"))
+    return df.groupBy(*DOCUMENT, "context", "nh").agg(F.sum("n").alias("times"), F.sum("first").alias("firsts"), F.sum("seen").alias("seen"), F.sum("value").alias("value"))
 
 
-def _score_contexts(asked: pa.Table, known: pa.Table) -> pa.Table:
-    if not asked.num_rows:
-        return _table([])
-    keys, _, contexts = unpack(known.column("data")[0].as_py(), "<u8", "<u8", "<u8")
-    _, (h, part, doc, m, dh) = _gather(asked, _ASKED)
-    value = -(m * _log(contexts[_places(keys, h)].astype(np.int64) - dh))
-    return _table(_sum_rows(part, doc, value, np.zeros(len(m))))
-
-
-def _finish(t: pa.Table) -> pa.Table:
-    kind = np.array(t.column("kind").to_pylist())
-    _, (doc, doc_id, null, n) = _gather(t.filter(pa.array(kind == 3)), _DOC)
-    total, seen = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
-    order = np.argsort(doc)
-    sums = t.filter(pa.array(kind == 2))
-    if sums.num_rows:
-        _, (d, value, s) = _gather(sums, _SUM)
-        at = order[np.searchsorted(doc[order], d)]
-        total += np.bincount(at, weights=value, minlength=len(doc))
-        seen += np.bincount(at, weights=s, minlength=len(doc)).astype(np.int64)
-    n = n.astype(np.int64)
-    score = np.round(total / np.maximum(n, 1), 6) + 0.0
-    return pa.table({"doc_id": pa.array(doc_id, mask=null.astype(bool)), "n_words": pa.array(n), "n_seen": pa.array(seen), "score": pa.array(score, mask=n == 0)})
-
-
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_seen (bigrams that other documents have), score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_unigram = shuffle_partitions(spark)
-    unigrams = materialize(rows.mapInArrow(_unigrams(n_unigram), ROWS).groupBy("bucket").applyInArrow(_sum_unigrams, UNIGRAMS), "unigrams")
-    total = unigrams.agg(F.sum("words").alias("n")).first().n or 0
-    found = unigrams.where(F.col("top") >= max(2, total // FREQUENT)).select("data").mapInArrow(_frequent(max(2, -(-total // FREQUENT))), "word long, n long").collect()  # FREQUENT rows at most
-    found.sort(key=lambda r: r.word)
-    words, counts = np.array([r.word for r in found], np.uint64), np.array([r.n for r in found], np.int64)
-    small = spark.sparkContext.broadcast((words, counts))
-    pairs = np.zeros(max(1, len(words) * (len(words) + 1)), np.int64)
-    for r in rows.mapInArrow(_frequent_pairs(small), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # FREQUENT^2 rows at most
-        pairs[r.pair] = r.n
-    shared = spark.sparkContext.broadcast((words, counts, max(total, 1), pairs))
-    n_buckets = max(2 * shuffle_partitions(spark), -(-total // BUCKET_WORDS))
-    sent = rows.mapInArrow(_bigrams(shared, n_buckets), ROWS)
-    scored = materialize(sent.groupBy("kind", "bucket").applyInArrow(_score_bigrams(shared, n_unigram), ROWS), "bigram-scores")
-    rest = scored.where("kind = 1").groupBy("bucket").cogroup(unigrams.groupBy("bucket")).applyInArrow(_score_contexts, ROWS)
-    return scored.where("kind in (2, 3)").unionByName(rest).groupBy("part").applyInArrow(_finish, "doc_id long, n_words long, n_seen long, score double")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    unigrams = rows.mapInArrow(_unigrams, UNIGRAMS).groupBy("word").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("ends")).alias("follows"))
+    unigrams = materialize(unigrams, "unigrams")
+    total = unigrams.agg(F.sum("n").alias("n")).first().n or 0
+
+    # frequent words and bigrams: FREQUENT and PAIRED rows at most, as each has its share of all occurrences
+    top = unigrams.where(F.col("n") >= max(2, -(-total // FREQUENT))).toArrow().sort_by("word")
+    words, counts = top.column("word").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    least = max(2, -(-total // PAIRED))
+    able = spark.sparkContext.broadcast(words[counts >= least])
+    hot = rows.mapInArrow(_pairs(able), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    place = np.flatnonzero(counts >= least)
+    pair = hot.column("pair").to_numpy()
+    pair = place[pair >> 20] << 20 | place[pair & 0xFFFFF] if len(pair) else pair
+    order = np.argsort(pair)
+    shared = spark.sparkContext.broadcast((words, pair[order], hot.column("n").to_numpy()[order]))
+    ids = pa.table({"id": pa.array(-np.arange(len(words)) - 1, pa.int64()), "n": top.column("n"), "follows": top.column("follows")})
+    frequent = spark.createDataFrame(ids, "id long, n long, follows long") if len(words) else spark.createDataFrame([], "id long, n long, follows long")
+
+    done = []
+    for part in range(slices):
+        dealt = rows.mapInArrow(_bigrams(shared, part, slices), BIGRAMS).repartition("k")
+        # rows and counts lie in the same partitions by k alone: neither side of the join is dealt again
+        with settings(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+            done.append(materialize(_terms(dealt, frequent, total), "terms"))
+    terms = done[0]
+    for x in done[1:]:
+        terms = terms.unionByName(x)
+    follows = unigrams.select(F.col("word").alias("context"), "follows")
+    waited = terms.where("context is not null").join(follows, "context")
+    waited = waited.withColumn("value", F.col("value") - F.col("times") * F.log10(F.greatest(F.col("follows") - F.col("nh"), F.lit(1))))
+    sums = [x.select(*DOCUMENT, "times", "firsts", "seen", "value") for x in (terms.where("context is null"), waited)]
+    sums = sums[0].unionByName(sums[1]).groupBy(*DOCUMENT).agg(*[F.sum(x).alias(x) for x in ("times", "firsts", "seen", "value")])
+    sums = materialize(sums.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "times", "firsts", "seen", "value"), "scores")
+    for x in done:
+        drop(x)
+    drop(unigrams)
+    out = rows.select(*DOCUMENT).join(sums, (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    each = lambda x: F.coalesce((F.col(x) / F.col("firsts")).cast("long"), F.lit(0).cast("long"))
+    return out.select("doc_id", each("times").alias("n_words"), each("seen").alias("n_seen"), (F.round(F.col("value") / F.col("times"), 6) + F.lit(0.0)).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

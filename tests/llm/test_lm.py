@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -50,11 +51,27 @@ def test_against_brute_force(spark):
     same(result(spark, ROWS), brute(ROWS))
 
 
-def test_without_frequent_words(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 2)
+@pytest.mark.parametrize("frequent, paired", [(1, 1), (20, 5), (10_000, 20), (10_000, 10_000)])
+def test_frequent_words_and_bigrams(spark, monkeypatch, frequent, paired):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "PAIRED", min(frequent, paired))
     same(result(spark, ROWS), brute(ROWS))
 
 
+def test_slices_and_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 20)
+    monkeypatch.setattr(lm, "SLICES", 3)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    one, three = (sorted(map(tuple, lm.scores(df, n).collect()), key=repr) for n in (1, 3))
+    assert one == three and [r[:3] for r in one] == [r[:3] for r in brute(ROWS)]
+
+
+def test_random_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(60)))) for i in range(60)]
+    same(result(spark, rows + rows[:7]), brute(rows + rows[:7]))
+
+
 def test_empty_table(spark):
     assert result(spark, ROWS[2:4]) == brute(ROWS[2:4])
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
