@@ -5,21 +5,23 @@ document's first word scores c(w) / N. c(h .) counts h where a word follows; c(w
 words of the corpus. A document's score is the mean of log10 S over its words.
 
 1. The unigram table (word, n, follows) counts all words. Words with at least 1/`FREQUENT` of all
-   occurrences, so at most `FREQUENT`, get short numbers, and their counts are broadcast.
+   occurrences, so at most `FREQUENT`, get short numbers, and their counts are broadcast. The same
+   pass names every bigram with at least 1/`PAIRED` of all occurrences, and at most twice `PAIRED`.
 2. Documents are exploded into rows (document, h, w, times), a row per distinct bigram of a document.
-   Rows are dealt by a hash of the word, or of the whole bigram if the word is frequent; a bigram with
-   at least 1/`PAIRED` of all occurrences (at most `PAIRED` of them, counted beforehand among words
-   that are as frequent) brings its count along and is dealt by document. So no hash partition gets
-   more than a small share through one word or bigram, at any size.
-3. In the hash partitions the rows are summed to the bigram table (h, w, c, and w's own count), which
-   is joined to the rows where they lie. What is left open, the count of a context that is not
-   frequent, is joined from the unigram table. Terms are summed per document before each shuffle.
+   Rows are dealt by a hash of the word, salted by its context if the word is frequent, and by the
+   document in a frequent bigram. So no hash partition gets more than a small share through one word
+   or bigram, at any size.
+3. In the hash partitions the rows are sorted once, which makes the tables of bigram counts (h, w, c)
+   and of word counts beside the rows that look them up: no count or row is shuffled again for that.
+   Counts of frequent words are joined from the broadcast table. What is left open is joined after
+   that: counts of other contexts from the unigram table, those of frequent bigrams from a table of
+   them. Terms are summed per document before each shuffle.
 
 Step 2 runs in `SLICES` slices of the hash, so that executors' disks hold one slice's rows at a time.
 
 Words are runs other than space and 0x09-0x0D with A-Z lower-cased, as 48-bit hashes, so that at 10
-million words no two are expected to be mixed up. A document is named by its doc_id and its text's
-hash; rows equal in both share a name, and their sums are divided among them.
+million words no two are expected to be mixed up. A document is named by a 64-bit hash of its doc_id
+and text; equal rows share a name, and their sums are divided among them.
 
 Defined results: null, empty and blank texts have no words and a null score; a text of one word has
 its unigram score; repeated rows are documents of their own, and see each other's bigrams; a null
@@ -36,23 +38,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import drop, materialize, mix, release, settings, table, word_hashes
+from quarry.llm.common import drop, materialize, mix, release, shuffle_partitions, small, table, word_hashes
 
 ALPHA = 0.4
 #: Words with 1/FREQUENT of all occurrences are frequent: FREQUENT rows of three numbers at most are broadcast.
 FREQUENT = 100_000
-#: Bigrams with 1/PAIRED of all occurrences bring their count along: PAIRED rows of two numbers at most are broadcast.
-PAIRED = 10_000
+#: Bigrams with 1/PAIRED of all occurrences are frequent; they and others, 2 PAIRED at most, are broadcast.
+PAIRED = 5_000
 SLICES = 2
-#: Stands for the context of a document's first word; hashes of words are below it, numbers of frequent words below 0.
-FIRST = 1 << 48
-_MASK = np.uint64(FIRST - 1)
+_MASK = np.uint64((1 << 48) - 1)
+#: A word is a number from 1 (frequent words), with salts above the lowest BITS, or HASHED with its hash; FIRST stands before a text.
+FIRST, BITS, SALTS, KNOWN, HASHED = 0, 17, 4096, 1 << 30, 1 << 48
 #: Words that a task gathers before it counts them.
 HELD = 1_500_000
 
 
-def words_of(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").encode("utf-8", "surrogatepass")) & _MASK
+def words_of(text: pa.StringScalar) -> np.ndarray:
+    return word_hashes(text.as_buffer() or b"") & _MASK
 
 
 def _places(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -63,6 +65,24 @@ def _places(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
+class Words:
+    """Sorted hashes of words, found by their leading bits: a few look-ups a word instead of a binary search."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = np.append(words, _MASK + np.uint64(1)), np.uint64(48 - max(1, len(words).bit_length() + 1))
+        lead = (words >> self.shift).astype(np.int64)
+        self.start = np.searchsorted(lead, np.arange((1 << 48 - int(self.shift)) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.start).max()) if len(words) else 0
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Where each x is, or -1."""
+        at = self.start[(x >> self.shift).astype(np.int64)]
+        found = np.where(self.words[at] == x, at, -1)
+        for k in range(1, self.most):
+            found = np.where(self.words[np.minimum(at + k, len(self.words) - 1)] == x, at + k, found)
+        return found.astype(np.int64)
+
+
 def _chunks(columns: list, names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
     for i in range(0, whole.num_rows, rows):
@@ -71,27 +91,42 @@ def _chunks(columns: list, names: list[str], rows: int = 100_000) -> Iterator[pa
 
 # --- 1: unigrams, frequent words and frequent bigrams --------------------------------------------
 
-UNIGRAMS = "word long, n long, ends long"
+UNIGRAMS = "word long, context long, n long, ends long"
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and how often they end a document."""
-    waiting, last, held = [], [], 0
+    """Counts of words, and how often they end a document; and, with a context, counts of bigrams that are many at a time.
+
+    A bigram with 1/PAIRED of all occurrences has half of that in parts of the corpus where it makes up 1/(2 PAIRED), so the
+    counts given here add up to 1/(2 PAIRED) of all.
+    """
+    waiting, held = [], 0
 
     def flush():
-        keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
-        ends = np.bincount(np.searchsorted(keys, np.concatenate(last)), minlength=len(keys))
+        words = np.concatenate(waiting)
+        keys, counts = np.unique(words, return_counts=True)
+        last = np.cumsum([len(w) for w in waiting]) - 1
+        ends = np.bincount(np.searchsorted(keys, words[last]), minlength=len(keys))
         waiting.clear()
-        last.clear()
-        yield from _chunks([keys.astype(np.int64), counts.astype(np.int64), ends.astype(np.int64)], ["word", "n", "ends"])
+        none = pa.nulls(len(keys), pa.int64())
+        yield from _chunks([keys.astype(np.int64), none, counts, ends], UNIGRAMS.replace(",", "").split()[::2])
+        least = max(2, len(words) // (2 * PAIRED))
+        able = keys[counts >= least]
+        p = _places(able, words)
+        both = (p[:-1] >= 0) & (p[1:] >= 0)
+        both[last[:-1]] = False
+        pairs, n = np.unique(p[:-1][both] * len(able) + p[1:][both], return_counts=True)
+        pairs, n = pairs[n >= least], n[n >= least]
+        if len(pairs):
+            yield from _chunks([able[pairs % len(able)].astype(np.int64), able[pairs // len(able)].astype(np.int64), n, np.zeros(len(n), np.int64)], UNIGRAMS.replace(",", "").split()[::2])
 
     for batch in batches:
-        for text in batch.column(2):
-            w = words_of(text.as_py())
-            waiting.append(w)
-            last.append(w[-1:])
-            held += len(w)
-            if held > 2 * HELD:
+        for text in batch.column(1):
+            w = words_of(text)
+            if len(w):
+                waiting.append(w)
+                held += len(w)
+            if held > 3 * HELD:
                 yield from flush()
                 held = 0
     if held:
@@ -99,86 +134,63 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _pairs(shared):
-    """Counts of pairs of the given words, named by their places: h << 20 | w."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, waiting, held = shared.value, [], 0
-
-        def flush():
-            pairs, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            yield from _chunks([pairs, n.astype(np.int64)], ["pair", "n"])
-
-        for batch in batches:
-            for text in batch.column(2):
-                p = _places(words, words_of(text.as_py()))
-                both = (p[:-1] >= 0) & (p[1:] >= 0)
-                waiting.append(p[:-1][both] << 20 | p[1:][both])
-                held += len(waiting[-1])
-                if held > 2 * HELD:
-                    yield from flush()
-                    held = 0
-        if held:
-            yield from flush()
-        release()
-
-    return run
-
-
 # --- 2: documents' bigrams as rows ----------------------------------------------------------------
 
-BIGRAMS = "k int, w long, h long, doc_id long, text_hash long, n int, nh int, known long"
+BIGRAMS = "w long, h long, doc long, times long"
 _NAMES = [x.split()[0] for x in BIGRAMS.split(", ")]
 
 
 def _in_text(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A text's distinct bigrams: h, w, times, and times of h as a context; first the word at its beginning."""
-    h, w = codes[:-1], codes[1:]
-    order = np.lexsort((w, h))
-    h, w = h[order], w[order]
-    new_h = np.ones(len(h), bool)
-    new_h[1:] = h[1:] != h[:-1]
-    new = new_h.copy()
-    new[1:] |= w[1:] != w[:-1]
-    start = np.flatnonzero(new)
-    n = np.diff(np.append(start, len(h)))
-    nh = np.diff(np.append(np.flatnonzero(new_h), len(h)))[np.cumsum(new_h)[start] - 1] if len(h) else n
-    return np.append(FIRST, h[start]), np.append(codes[:1], w[start]), np.append(1, n), np.append(0, nh)
+    """A text's distinct bigrams: h, w, and their times with, in the lower half, those of h as a context; first its first word."""
+    order = np.argsort(codes)
+    by = codes[order]
+    new = np.ones(len(by), bool)
+    np.not_equal(by[1:], by[:-1], out=new[1:])
+    own, rank = by[new], np.empty(len(by), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    pairs = rank[:-1] * len(own) + rank[1:]
+    pairs.sort()
+    new = np.ones(len(by), bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:-1])
+    at = np.flatnonzero(new)  # the last is the end
+    pair = pairs[at[:-1]]
+    h = pair // len(own)
+    contexts = np.bincount(rank[:-1], minlength=len(own))
+    return np.append(FIRST, own[h]), np.append(codes[:1], own[pair - h * len(own)]), np.append(1 << 32, np.diff(at) << 32 | contexts[h])
 
 
 def _bigrams(shared, part: int, parts: int):
     """The documents' bigrams in slice `part` of `parts`: the columns of BIGRAMS.
 
-    k deals the rows; frequent words are numbered -1, -2, ...; `known` is c(h w) of a frequent bigram, else 0.
+    A frequent word is its number, as w with salts above it and, in a frequent bigram, the sign KNOWN; any other word is
+    its hash. `times` holds the times of the bigram and, in the lower half, those of its context.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, counts = shared.value
+        words, pairs = Words(shared.value[0]), shared.value[1]
         held, names, size = [], [], 0
 
         def flush():
-            h, w, n, nh = (np.concatenate(c) for c in zip(*held))
+            h, w, times = (np.concatenate(c) for c in zip(*held))
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            ids, hashes = pa.array([x[0] for x in names], pa.int64()), np.array([x[1] for x in names], np.int64)
+            docs = np.array(names, np.int64)
             held.clear()
             names.clear()
-            at = np.where((h < 0) & (w < 0), _places(pairs, (-h - 1) << 20 | (-w - 1)), -1)
-            both = mix(w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h.astype(np.uint64))
-            code = np.where(at >= 0, mix(hashes.astype(np.uint64)[doc] + both), np.where(w < 0, both, mix(w.astype(np.uint64))))
-            own = (code >> np.uint64(40)) % np.uint64(parts) == part
-            take = lambda x: x[own]
-            known = np.where(at >= 0, counts[np.maximum(at, 0)] if len(counts) else 0, 0)
-            k = (code & np.uint64(0x7FFFFFFF)).astype(np.int32)
-            yield from _chunks([take(k), take(w), take(h), ids.take(pa.array(take(doc))), hashes[take(doc)], take(n).astype(np.int32), take(nh).astype(np.int32), take(known)], _NAMES)
+            few = w < HASHED
+            at = np.flatnonzero(few)
+            hot = (h[at] < HASHED) & (_places(pairs, h[at] << BITS | w[at]) >= 0)
+            salt = mix(np.where(hot, docs[doc[at]], h[at]).astype(np.uint64)) & np.uint64(SALTS - 1)
+            w[at] |= salt.astype(np.int64) << BITS | np.where(hot, KNOWN, 0)
+            own = np.flatnonzero(mix(w.astype(np.uint64)) % np.uint64(parts) == part) if parts > 1 else np.arange(len(w))
+            yield from _chunks([w[own], h[own], docs[doc[own]], times[own]], _NAMES)
 
         for batch in batches:
-            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = words_of(text.as_py())
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = words_of(text)
                 if len(x):
-                    at = _places(words, x)
-                    held.append(_in_text(np.where(at >= 0, -at - 1, x.astype(np.int64))))
-                    names.append((doc_id, text_hash))
+                    at = words.places(x)
+                    held.append(_in_text(np.where(at >= 0, at + 1, x.astype(np.int64) | HASHED)))
+                    names.append(doc)
                     size += len(held[-1][0])
                 if size > HELD:
                     yield from flush()
@@ -192,79 +204,95 @@ def _bigrams(shared, part: int, parts: int):
 
 # --- 3: joins with the count tables ---------------------------------------------------------------
 
-DOCUMENT = ["doc_id", "text_hash"]
-
 
-def _count_table(rows: DataFrame) -> DataFrame:
-    """(k, w, h, c, cw): counts of the bigrams and of their words, in the rows' own hash partitions."""
-    grams = rows.where("known = 0").groupBy("k", "w", "h").agg(F.sum("n").alias("c"))
-    return grams.withColumn("cw", F.sum("c").over(Window.partitionBy("k", "w").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+def _share(total: int):
+    """What one word has of all."""
+    return F.lit(1.0 / max(total, 1))
 
 
 def _terms(rows: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
-    """Per document, and per context that is not frequent: sums of words, first words, seen bigrams and terms.
+    """Per document, and per count that is not here: sums of words with, in the lower half, seen bigrams; and of terms.
 
-    `context` is null where nothing is left open; else `times` bigrams wait for log10(c(context .) - nh).
+    `context` is null where nothing is left open. It is a context that is not frequent, where the bigrams wait for
+    log10(c(context .) - nh), or below 0 a frequent bigram, that waits for all of its term; nh has the bigram's times
+    in its upper half there, as equal documents are summed here.
     """
-    of_word = F.broadcast(frequent.select(F.col("id").alias("w"), F.col("n").alias("fw")))
-    of_context = F.broadcast(frequent.select(F.col("id").alias("h"), F.col("follows").alias("fh")))
-    df = rows.join(_count_table(rows), ["k", "w", "h"], "left").join(of_word, "w", "left").join(of_context, "h", "left")
-    first = F.col("h") == FIRST
-    others = F.when(first, F.lit(0)).otherwise(F.when(F.col("known") > 0, F.col("known")).otherwise(F.col("c")) - F.col("n"))
-    df = df.select(*DOCUMENT, "h", "n", "nh", "fh", first.alias("first"), others.alias("others"), F.coalesce("fw", "cw").alias("cw"))
-    seen = F.col("others") > 0
-    back = F.log10("cw") - F.lit(float(np.log10(max(total, 1)))) + F.when(F.col("first"), F.lit(0.0)).otherwise(F.lit(float(np.log10(ALPHA))))
-    known = F.when(F.col("fh").isNotNull(), F.log10(F.greatest(F.col("fh") - F.col("nh"), F.lit(1)))).otherwise(F.lit(0.0))
-    value = F.col("n") * F.when(seen, F.log10("others") - known).otherwise(back)
-    wait = seen & F.col("fh").isNull()
-    df = df.select(*DOCUMENT, F.when(wait, F.col("h")).alias("context"), F.when(wait, F.col("nh")).alias("nh"), "n", F.col("first").cast("int").alias("first"), F.when(seen, F.col("n")).otherwise(F.lit(0)).alias("seen"), value.alias("value"))
-    return df.groupBy(*DOCUMENT, "context", "nh").agg(F.sum("n").alias("times"), F.sum("first").alias("firsts"), F.sum("seen").alias("seen"), F.sum("value").alias("value"))
+    # in each hash partition: the table of bigram counts c, and of word counts cw, beside the rows that they count
+    n = F.shiftright("times", 32)
+    # (larger partitions than usual, as a document's terms are summed per partition before they are shuffled)
+    df = rows.repartition(max(1, 3 * shuffle_partitions(rows.sparkSession) // 5), "w").select("w", "h", "doc", n.alias("n"), F.col("times").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nh"))
+    df = df.withColumn("c", F.sum("n").over(Window.partitionBy("w", "h"))).withColumn("cw", F.sum("n").over(Window.partitionBy("w")))
+    # joined with the counts of frequent words
+    number = F.when(F.col("w") < HASHED, F.col("w").bitwiseAND(F.lit((1 << BITS) - 1)))
+    df = df.join(F.broadcast(frequent.select(F.col("id").alias("iw"), F.col("n").alias("fw"))), number == F.col("iw"), "left")
+    df = df.join(F.broadcast(frequent.select(F.col("id").alias("ih"), F.col("follows").alias("fh"))), F.col("h") == F.col("ih"), "left")
+    first, hot = F.col("h") == FIRST, (F.col("w") < HASHED) & (F.col("w") >= KNOWN)
+    others = F.when(first | hot, F.lit(0)).otherwise(F.col("c") - F.col("n"))
+    pair = F.when(hot, -1 - F.shiftleft("h", BITS).bitwiseOR(number))
+    df = df.select("doc", "h", "n", "nh", "fh", first.alias("first"), pair.alias("pair"), others.alias("others"), F.coalesce("fw", "cw").alias("cw"))
+    seen, hot = F.col("others") > 0, F.col("pair").isNotNull()
+    known = F.greatest(F.coalesce(F.col("fh") - F.col("nh"), F.lit(1)), F.lit(1))
+    ratio = F.when(seen, F.col("others") / known).otherwise(F.col("cw") * F.when(F.col("first"), _share(total)).otherwise(F.lit(ALPHA) * _share(total)))
+    value = F.when(hot, F.lit(0.0)).otherwise(F.col("n") * F.log10(ratio))
+    context = F.when(hot, F.col("pair")).when(seen & F.col("fh").isNull(), F.col("h"))
+    times = F.shiftleft("n", 32) + F.when(seen, F.col("n")).otherwise(F.lit(0))
+    df = df.select("doc", context.alias("context"), F.when(hot, F.shiftleft("n", 32) + F.col("nh")).when(seen & F.col("fh").isNull(), F.col("nh")).alias("nh"), times.alias("times"), value.alias("value"))
+    return df.groupBy("doc", "context", "nh").agg(F.sum("times").alias("times"), F.sum("value").alias("value"))
+
+
+def _local(spark: SparkSession, shape: str, *columns) -> DataFrame:
+    names = shape.replace(",", "").split()[::2]
+    return spark.createDataFrame(pa.table(list(columns), names), shape) if len(columns[0]) else spark.createDataFrame([], shape)
 
 
 def scores(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_seen (bigrams that other documents have), score."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    unigrams = rows.mapInArrow(_unigrams, UNIGRAMS).groupBy("word").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("ends")).alias("follows"))
-    unigrams = materialize(unigrams, "unigrams")
+    doc_id = F.col("doc_id").cast("long")
+    name = F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("doc")
+    rows = docs.select(name, text.alias("text"))
+    counted = materialize(rows.mapInArrow(_unigrams, UNIGRAMS).groupBy("word", "context").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("ends")).alias("follows")), "unigrams")
+    unigrams = counted.where("context is null").select("word", "n", "follows")
     total = unigrams.agg(F.sum("n").alias("n")).first().n or 0
 
-    # frequent words and bigrams: FREQUENT and PAIRED rows at most, as each has its share of all occurrences
+    # frequent words and bigrams: FREQUENT and 2 PAIRED rows at most, as each has its share of all occurrences
     top = unigrams.where(F.col("n") >= max(2, -(-total // FREQUENT))).toArrow().sort_by("word")
-    words, counts = top.column("word").to_numpy().astype(np.uint64), top.column("n").to_numpy()
-    least = max(2, -(-total // PAIRED))
-    able = spark.sparkContext.broadcast(words[counts >= least])
-    hot = rows.mapInArrow(_pairs(able), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    place = np.flatnonzero(counts >= least)
-    pair = hot.column("pair").to_numpy()
-    pair = place[pair >> 20] << 20 | place[pair & 0xFFFFF] if len(pair) else pair
-    order = np.argsort(pair)
-    shared = spark.sparkContext.broadcast((words, pair[order], hot.column("n").to_numpy()[order]))
-    ids = pa.table({"id": pa.array(-np.arange(len(words)) - 1, pa.int64()), "n": top.column("n"), "follows": top.column("follows")})
-    frequent = spark.createDataFrame(ids, "id long, n long, follows long") if len(words) else spark.createDataFrame([], "id long, n long, follows long")
-
-    done = []
-    for part in range(slices):
-        dealt = rows.mapInArrow(_bigrams(shared, part, slices), BIGRAMS).repartition("k")
-        # rows and counts lie in the same partitions by k alone: neither side of the join is dealt again
-        with settings(spark, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-            done.append(materialize(_terms(dealt, frequent, total), "terms"))
+    words, counts, follows = top.column("word").to_numpy().astype(np.uint64), top.column("n").to_numpy(), top.column("follows").to_numpy()
+    hot = counted.where("context is not null").where(F.col("n") >= max(2, total // (2 * PAIRED))).select("context", "word").toArrow()
+    h, w = (_places(words, hot.column(x).to_numpy().astype(np.uint64)) for x in ("context", "word"))
+    pairs = np.sort((h + 1 << BITS | w + 1)[(h >= 0) & (w >= 0)])
+    shared = spark.sparkContext.broadcast((words, pairs))
+    frequent = _local(spark, "id long, n long, follows long", np.arange(len(words)) + 1, counts, follows)
+
+    done = [materialize(_terms(rows.mapInArrow(_bigrams(shared, part, slices), BIGRAMS), frequent, total), "terms") for part in range(slices)]
     terms = done[0]
     for x in done[1:]:
         terms = terms.unionByName(x)
-    follows = unigrams.select(F.col("word").alias("context"), "follows")
-    waited = terms.where("context is not null").join(follows, "context")
-    waited = waited.withColumn("value", F.col("value") - F.col("times") * F.log10(F.greatest(F.col("follows") - F.col("nh"), F.lit(1))))
-    sums = [x.select(*DOCUMENT, "times", "firsts", "seen", "value") for x in (terms.where("context is null"), waited)]
-    sums = sums[0].unionByName(sums[1]).groupBy(*DOCUMENT).agg(*[F.sum(x).alias(x) for x in ("times", "firsts", "seen", "value")])
-    sums = materialize(sums.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "times", "firsts", "seen", "value"), "scores")
+    n = F.shiftright("times", 32)
+    contexts = unigrams.where("follows > 1").select(F.col("word").bitwiseOR(F.lit(HASHED)).alias("context"), "follows")  # others have each
+    rare = terms.where("context > 0").join(contexts.hint("shuffle_hash"), "context")
+    rare = rare.withColumn("value", F.col("value") - n * F.log10(F.greatest(F.col("follows") - F.col("nh"), F.lit(1))))
+    # frequent bigrams: a row each, with its count, its context's and its word's
+    found = terms.where("context < 0").groupBy("context").agg(F.sum(n).alias("c")).toArrow()
+    at = -1 - found.column("context").to_numpy()
+    of_pairs = _local(spark, "context long, c long, fh long, fw long", found.column("context").to_numpy(), found.column("c").to_numpy(), follows[(at >> BITS) - 1], counts[(at & (1 << BITS) - 1) - 1])
+    often = terms.where("context < 0").join(F.broadcast(of_pairs), "context").withColumn("others", F.col("c") - F.shiftright("nh", 32)).withColumn("nh", F.col("nh").bitwiseAND(F.lit(0xFFFFFFFF)))
+    seen = F.col("others") > 0
+    ratio = F.when(seen, F.col("others") / F.greatest(F.col("fh") - F.col("nh"), F.lit(1))).otherwise(F.col("fw") * F.lit(ALPHA) * _share(total))
+    often = often.withColumn("value", n * F.log10(ratio))
+    often = often.withColumn("times", F.col("times") + F.when(seen, n).otherwise(F.lit(0)))
+    sums = terms.where("context is null").select("doc", "times", "value").unionByName(rare.select("doc", "times", "value")).unionByName(often.select("doc", "times", "value"))
+    sums = materialize(sums.groupBy("doc").agg(F.sum("times").alias("times"), F.sum("value").alias("value")), "scores")
     for x in done:
         drop(x)
-    drop(unigrams)
-    out = rows.select(*DOCUMENT).join(sums, (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    each = lambda x: F.coalesce((F.col(x) / F.col("firsts")).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", each("times").alias("n_words"), each("seen").alias("n_seen"), (F.round(F.col("value") / F.col("times"), 6) + F.lit(0.0)).alias("score"))
+    drop(counted)
+    named = docs.select(doc_id.alias("doc_id"), name)
+    many = named.groupBy("doc").agg(F.count("*").alias("many")).where("many > 1")
+    out = named.join(sums, "doc", "left").join(small(materialize(many, "repeated")), "doc", "left")
+    each = lambda x: F.coalesce((x / F.coalesce("many", F.lit(1))).cast("long"), F.lit(0).cast("long"))
+    words = F.shiftright("times", 32)
+    return out.select("doc_id", each(words).alias("n_words"), each(F.col("times").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n_seen"), (F.round(F.col("value") / words, 6) + F.lit(0.0)).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
