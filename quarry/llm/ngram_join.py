@@ -3,23 +3,22 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. All sets are put in one global
 order, rare shingles first: by the class of a count sketch over the whole corpus, then by hash. The
 sketch has a cell for every few shingles, up to 2^25 cells; any order gives the same links, a better
-one fewer candidates. Two sets that link share a shingle within their prefixes (a set of n has a prefix of
-n - ceil(0.75 n) + 1), so
-
-1. prefixes are dealt by shingle into buckets, packed as arrays. In a bucket, documents under one
-   shingle are paired if their sizes allow a link; counts of shared prefix shingles are summed over
-   buckets, and bound the overlap, which leaves few candidates;
-2. under a shingle with more than `GROUP` documents not all pairs are made: the documents are chained
-   by size, which connects whatever can link there;
-3. the connected candidates are a block. In a block the ordered sets stand in a path-compressed
-   prefix tree, and every set is matched against the tree from the root: documents below a node share
-   the overlap counted so far, and a subtree goes when that overlap with all that may remain on both
+one smaller blocks. Two sets that link have sizes within 3 : 4 and share a shingle within their
+prefixes (a set of n has a prefix of n - ceil(0.75 n) + 1), so
+
+1. every set is exploded into rows (shingle, set, size) of its prefix. Under a shingle the sets are
+   chained by size; whatever can link is connected by chains. A task first makes stars of the sets
+   that it has under one shingle in one band of sizes, and sends the smallest and the largest on, so
+   a shingle that a third of all documents share stays small;
+2. the connected sets are a block. In a block the ordered sets stand in a path-compressed prefix
+   tree, and every set is joined with the tree from the root: documents below a node share the
+   overlap counted so far, and a subtree goes when that overlap with all that may remain on both
    sides cannot reach the overlap a link needs, or when all its documents are already connected;
-4. connected candidates with more than `BLOCK_SHINGLES` shingles in all are too many for one task.
-   There a block is a document and a part of its candidates, and after that, under the shingles of
-   step 2, all pairs of documents that are still in different components are matched too.
+3. a block with more than `BLOCK_SHINGLES` shingles or `BLOCK_SETS` sets is too much for one task.
+   It is dealt into parts; a tree takes the sets of two parts at a time, first each part by itself,
+   then every two parts, with what the first round connected.
 
-Sets travel once for each block they are in; equal sets are one node, whatever the number of copies.
+Sets travel once for each tree they are in; equal sets are one, whatever the number of copies.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even each
 other; fewer than five words are one shingle; equal sets link; repeated rows are documents with
@@ -35,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, mix, shingle_hashes, shuffle_partitions, small, table, word_hashes
+from quarry.llm.common import drop, materialize, mix, release, shingle_hashes, small, table, word_hashes
 from quarry.operators.components import components
 
 WIDTH = 5
@@ -45,16 +45,16 @@ PART, WHOLE = 3, 4
 #: The sketch has 2^16 to 2^25 cells: 64 MB at most in a task, and 8 MB once classed.
 SKETCH_BITS = (16, 25)
 SLICES = 64
-GROUP = 16
-BUCKET_TOKENS = 1_000_000
-#: Shingles in a block's sets at most, unless one pair alone has more.
-BLOCK_SHINGLES = 4_000_000
-CHAINED = 1 << 20
+#: Shingles that a task gathers before it counts or chains them.
+HELD = 500_000
+#: Shingles and sets in one tree at most, unless two sets alone have more.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 20_000
 
 
-def text_set(text: str | None) -> np.ndarray:
+def text_set(text: str | pa.Scalar | None) -> np.ndarray:
     """Distinct shingle hashes, ascending."""
-    return np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass")), WIDTH))
+    data = (text.as_buffer() if isinstance(text, pa.Scalar) else (text or "").encode("utf-8", "surrogatepass")) or b""
+    return np.unique(shingle_hashes(word_hashes(data), WIDTH))
 
 
 def set_name(h: np.ndarray) -> int:
@@ -101,12 +101,12 @@ def _profile(bits: int):
         for batch in batches:
             ns, nodes = [], []
             for text in batch.column(2):
-                h = text_set(text.as_py())
+                h = text_set(text)
                 ns.append(len(h))
                 nodes.append(set_name(h))
                 waiting.append(h)
                 held += len(h)
-                if held > 2_000_000:
+                if held > HELD:
                     count()
             k = len(ns)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
@@ -115,6 +115,7 @@ def _profile(bits: int):
             parts = counts.reshape(SLICES, -1)
             for i in range(SLICES):
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([task], pa.int64()), pa.array([i], pa.int32()), pa.array([_zip(parts[i])], pa.binary())], schema=schema)
+        release()
 
     return run
 
@@ -193,156 +194,82 @@ def ordered(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.sort(keys) if c.any() else keys
 
 
-# --- pass 2: prefixes into buckets, and pairs under a shingle ----------------------------------
+# --- pass 2: prefixes as rows, and what they connect ------------------------------------------
 
-BUCKETS = "bucket long, docs binary, sizes binary, at binary, tokens binary"
+PREFIXES = "token long, node long, n int, star long"
 
 
-def _prefixes(shared, n_buckets: int):
+def band(n: np.ndarray) -> np.ndarray:
+    """Sizes of one band can all link with each other."""
+    return np.floor(np.log(n) / np.log(WHOLE / PART) + 1e-9).astype(np.int64)
+
+
+def _prefixes(shared):
+    """Rows of shingles in the prefixes of sets; and rows with `star`, a set under the same shingle in the same band of sizes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = shared.value, set()
-        docs, sizes, keys, held = [], [], [], 0
+        nodes, sizes, keys, held = [], [], [], 0
 
         def flush():
             lengths = [len(k) for k in keys]
-            m = mix(np.concatenate(keys))
-            bucket = ((m >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            doc, token = np.repeat(np.arange(len(keys)), lengths), (m & np.uint64(0xFFFFFFFF)).astype("<u4")
-            order = np.argsort(bucket, kind="stable")
-            bucket, doc, token = bucket[order], doc[order], token[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            all_docs, all_sizes = np.array(docs, "<i8"), np.array(sizes, "<i4")
-            rows = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                own, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(bucket[a]), all_docs[own].tobytes(), all_sizes[own].tobytes(), at.astype("<u2").tobytes(), token[a:b].tobytes()))
-            docs.clear(), sizes.clear(), keys.clear()
-            types = [pa.int64()] + [pa.binary()] * 4
-            for k in range(0, len(rows), 32):
-                cols = list(zip(*rows[k : k + 32]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "docs", "sizes", "at", "tokens"])
+            token = (mix(np.concatenate(keys)) >> np.uint64(16)).astype(np.int64)
+            node, n = np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            nodes.clear(), sizes.clear(), keys.clear()
+            order = np.argsort(token)
+            token, node, n = token[order], node[order], n[order]
+            again = token[1:] == token[:-1]
+            more = np.concatenate((again, [False])) | np.concatenate(([False], again))
+            yield from rows(token[~more], node[~more], n[~more], None)
+            token, node, n = token[more], node[more], n[more]
+            if len(token):
+                bands = band(n)
+                order = np.lexsort((node, n, bands, token))
+                token, node, n, bands = token[order], node[order], n[order], bands[order]
+                new = np.concatenate(([True], (token[1:] != token[:-1]) | (bands[1:] != bands[:-1])))
+                last = np.concatenate((new[1:], [True]))
+                star = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                ends = new | last
+                yield from rows(token[ends], node[ends], n[ends], None)
+                # stars are edges already; a token of their own lets them pass
+                node, n, star = node[~new], n[~new], star[~new]
+                apart, first = np.unique(mix(node.astype(np.uint64) ^ mix(star.astype(np.uint64))) >> np.uint64(16), return_index=True)
+                yield from rows(-1 - apart.astype(np.int64), node[first], n[first], star[first])
+
+        def rows(token, node, n, star):
+            for i in range(0, len(token), 100_000):
+                part = slice(i, i + 100_000)
+                others = pa.nulls(len(token[part]), pa.int64()) if star is None else pa.array(star[part])
+                yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(node[part]), pa.array(n[part].astype(np.int32)), others], ["token", "node", "n", "star"])
 
         for batch in batches:
             for text in batch.column(0):
-                h = text_set(text.as_py())
+                h = text_set(text)
                 node = set_name(h)
                 if not len(h) or node in seen:  # copies within a task are sent once
                     continue
                 seen.add(node)
-                docs.append(node)
+                nodes.append(node)
                 sizes.append(len(h))
                 keys.append(ordered(h, classes)[: prefix_length(len(h))])
                 held += len(keys[-1])
-                if held > 2_000_000 or len(docs) == 65_000:
+                if held > HELD:
                     yield from flush()
                     held = 0
-        if docs:
+        if nodes:
             yield from flush()
+        release()
 
     return run
 
 
-PAIRS = "kind int, key long, a binary, b binary, na binary, nb binary, c binary, members array<long>, sizes array<int>"
-_PAIR_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32())]
-_PAIR_NAMES = ["kind", "key", "a", "b", "na", "nb", "c", "members", "sizes"]
-
-
-def _close(x, y):
-    """Whether sets of these sizes can link."""
-    return WHOLE * np.minimum(x, y) >= PART * np.maximum(x, y)
-
-
-def _packed(kind: int, a, b, count, nodes, sizes, n_buckets: int) -> list[tuple]:
-    """Rows of pairs (indexes a < b into nodes), one for each pair bucket that has any."""
-    if not len(a):
-        return []
-    with np.errstate(over="ignore"):
-        to = (mix(nodes[a].astype(np.uint64) * np.uint64(31) + nodes[b].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    a, b, count, to = a[order], b[order], count[order], to[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-    cell = lambda x, t, i, j: x[i:j].astype(t).tobytes()
-    return [(kind, int(to[i]), cell(nodes[a], "<i8", i, j), cell(nodes[b], "<i8", i, j), cell(sizes[a], "<i4", i, j), cell(sizes[b], "<i4", i, j), cell(count, "<i4", i, j), None, None) for i, j in zip(cuts[:-1], cuts[1:])]
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) if rows else [[]] * len(_PAIR_NAMES)
-    return pa.table([pa.array(c, t) for c, t in zip(cols, _PAIR_TYPES)], names=_PAIR_NAMES)
-
-
-def _column(t: pa.Table, name: str, kind: str) -> np.ndarray:
-    parts = [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
-def _counted(codes: list[np.ndarray], width: int):
-    """Pairs as code = a * width + b, with how often each occurs."""
-    if not codes:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    code, count = np.unique(np.concatenate(codes), return_counts=True)
-    return code // width, code % width, count
-
-
-def _pair_up(n_buckets: int, group: int):
-    def run(t: pa.Table) -> pa.Table:
-        shift, docs, at = 0, [], []
-        for d, a in zip(t.column("docs"), t.column("at")):
-            docs.append(np.frombuffer(d.as_py(), "<i8"))
-            at.append(np.frombuffer(a.as_py(), "<u2").astype(np.int64) + shift)
-            shift += len(docs[-1])
-        nodes, first, inverse = np.unique(np.concatenate(docs), return_index=True, return_inverse=True)
-        sizes, token, doc = _column(t, "sizes", "<i4")[first].astype(np.int64), _column(t, "tokens", "<u4"), inverse[np.concatenate(at)]
-        order = np.lexsort((doc, token))
-        token, doc = token[order], doc[order]
-        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])))
-        token, doc = token[fresh], doc[fresh]
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        length, width = np.diff(np.concatenate((start, [len(token)]))), len(nodes)
-        codes, rows, chains = [], [], []
-        for k in range(2, min(group, int(length.max())) + 1):
-            runs = start[length == k]
-            left, right = np.triu_indices(k, 1)
-            for i in range(0, len(runs), max(1, 2_000_000 // len(left))):
-                own = doc[runs[i : i + max(1, 2_000_000 // len(left)), None] + np.arange(k)]
-                a, b = own[:, left].ravel(), own[:, right].ravel()
-                ok = _close(sizes[a], sizes[b])
-                codes.append(a[ok] * width + b[ok])
-        for s, k in zip(start[length > group], length[length > group]):
-            own = doc[s : s + k]
-            by_size = own[np.lexsort((nodes[own], sizes[own]))]
-            a, b = by_size[:-1], by_size[1:]
-            ok = _close(sizes[a], sizes[b])  # documents between two that can link can link with their neighbours
-            chains.append(np.minimum(a, b)[ok] * width + np.maximum(a, b)[ok])
-            rows.append((1, (int(t.column("bucket")[0].as_py()) << 32) + int(token[s]), None, None, None, None, None, nodes[own].tolist(), sizes[own].tolist()))
-        a, b, c = _counted(codes, width)
-        rows += _packed(0, a, b, c, nodes, sizes, n_buckets)
-        a, b, c = _counted(chains, width)
-        rows += _packed(2, a, b, np.full(len(a), CHAINED), nodes, sizes, n_buckets)
-        return _rows(rows)
-
-    return run
-
-
-def _sum_pairs(t: pa.Table) -> pa.Table:
-    """All rows of a pair bucket to one row a pair: a, b, na, nb and c, the sum."""
-    a, b, na, nb, c = (_column(t, x, k) for x, k in (("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("c", "<i4")))
-    order = np.lexsort((b, a))
-    a, b, na, nb, c = a[order], b[order], na[order], nb[order], c[order].astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return pa.table({"a": a[start], "b": b[start], "na": na[start], "nb": nb[start], "c": np.add.reduceat(c, start)})
-
-
-SUMMED = "a long, b long, na int, nb int, c long"
-
-
-def _bound():
-    """The most that the overlap can be, from the c shingles shared in the prefixes; see prefix_length()."""
-    rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
-    return (F.col("c") % CHAINED) + F.greatest(rest("na"), rest("nb"))
-
-
-def _enough():
-    return F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
+def connections(docs: DataFrame, shared) -> DataFrame:
+    """(a, b): pairs of sets that connect, directly or over others, whatever sets can link."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_prefixes(shared), PREFIXES)
+    before = lambda c: F.lag(c).over(Window.partitionBy("token").orderBy("n", "node"))
+    rows = rows.select("node", "n", F.coalesce("star", before("node")).alias("b"), F.when(F.col("star").isNotNull(), F.col("n")).otherwise(before("n")).alias("nb"))
+    # sets between two that can link can link with their neighbours by size
+    return rows.where((F.col("node") != F.col("b")) & (WHOLE * F.least("n", "nb") >= PART * F.greatest("n", "nb"))).select(F.col("node").alias("a"), "b").distinct()
 
 
 # --- blocks and prefix trees ------------------------------------------------------------------
@@ -403,150 +330,85 @@ class Trie:
                 stack += [(a, b, to, overlap) for a, b in reversed(self.children(ended, end, to))]
 
 
-def join_block(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Links among all sets, or among the pairs: enough of them to connect what all of them connect."""
+def join_block(sets: dict[int, np.ndarray], labels: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links among the sets: enough of them to connect what all links and equal labels connect."""
     names = list(sets)
     trie = Trie([sets[x] for x in names])
     names = [names[i] for i in trie.order]
-    place = {x: i for i, x in enumerate(names)}
-    component = np.arange(len(names))
-    others: dict[int, list[int]] = {}
-    for a, b in pairs or ():
-        others.setdefault(place[a], []).append(place[b])
+    if labels is None:
+        component = np.arange(len(names))
+    else:
+        component = np.unique([labels[x] for x in names], return_inverse=True)[1]
     links = []
-    for a in others if pairs is not None else range(len(names)):
+    for a in range(len(names)):
         wanted = component != component[a]
-        if pairs is None:
-            wanted[: a + 1] = False
-        else:
-            asked = np.zeros(len(names), bool)
-            asked[others[a]] = True
-            wanted &= asked
+        wanted[: a + 1] = False
         if not wanted.any():
             continue
         for b in trie.matches(trie.sets[a], wanted):
-            if wanted[b] and component[a] != component[b]:
+            if component[a] != component[b]:
                 component[component == component[b]] = component[a]
                 links.append((names[a], names[b]))
     return links
 
 
-def _sets_of(t: pa.Table, classes: np.ndarray) -> dict[int, np.ndarray]:
-    sets = {}
-    for node, text in zip(t.column("node").to_pylist(), t.column("text")):
-        h = text_set(text.as_py())
-        if set_name(h) == node:
-            sets[node] = ordered(h, classes)
-    return sets
-
-
-def _links_table(links: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([y for _, y in links], pa.int64())})
+def _join(shared):
+    """The links in one block: the table of its sets' texts, with labels of what is connected already."""
 
-
-def _join_whole(shared):
     def run(members: pa.Table) -> pa.Table:
-        return _links_table(join_block(_sets_of(members, shared.value)))
-
-    return run
-
-
-def _join_pairs(shared):
-    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
-        sets = _sets_of(members, shared.value)
-        pairs = [(a, b) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()) if a in sets and b in sets]
-        return _links_table(join_block(sets, pairs))
+        sets, labels = {}, {}
+        for node, label, text in zip(members.column("node").to_pylist(), members.column("label").to_pylist(), members.column("text")):
+            h = text_set(text)
+            if set_name(h) == node:
+                sets[node], labels[node] = ordered(h, shared.value), label
+        links = join_block(sets, labels)
+        size = sum(map(len, sets.values()))
+        sets.clear()
+        if size > 100_000:
+            release()
+        return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
 def _with_texts(docs: DataFrame, profiled: DataFrame, members: DataFrame) -> DataFrame:
-    """members(block, node) with a text that has the node's set."""
+    """members(block, node, label) with a text that has the node's set."""
     texts = profiled.where("slice is null and n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     members = materialize(members.join(texts, "node"), "members")
     wanted = small(members.select("text_hash").distinct())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    return members.join(found, "text_hash").select("block", "node", "text")
-
+    return members.join(found, "text_hash").select("block", "node", "label", "text")
 
-def verify(docs: DataFrame, profiled: DataFrame, pairs: DataFrame, shared) -> tuple[DataFrame, DataFrame]:
-    """(links, crowded) from candidates(a, b, na, nb).
-
-    links(src, dst) connect what all links among connected candidates connect, except among crowded(id), the
-    documents in components too large for a block, where only the candidates themselves were matched.
-    """
-    pairs = materialize(pairs.select("a", "b", "na", "nb"), "candidates")
-    labels = materialize(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "candidate-labels")
-    sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
-    heavy = materialize(labels.join(sizes, "id").groupBy("label").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > BLOCK_SHINGLES).select("label"), "heavy")
-    light = labels.join(heavy, "label", "left_anti").select(F.col("label").alias("block"), F.col("id").alias("node"))
-    links = materialize(_with_texts(docs, profiled, light).groupBy("block").applyInArrow(_join_whole(shared), "src long, dst long"), "links")
-    crowded = labels.join(heavy, "label", "left_semi").select("id")
-    if heavy.isEmpty():
-        return links, crowded
-    return links.unionByName(verify_pairs(docs, profiled, pairs.join(crowded.withColumnRenamed("id", "a"), "a", "left_semi"), shared)), crowded
-
-
-def verify_pairs(docs: DataFrame, profiled: DataFrame, pairs: DataFrame, shared) -> DataFrame:
-    """Links (src, dst) that connect what the linking ones among pairs(a, b, na, nb) connect."""
-    placed = materialize(pairs.select("a", "b", "nb"), "candidates")
-    load = placed.groupBy("a").agg(F.sum("nb").alias("load"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / BLOCK_SHINGLES))
-    placed = materialize(placed.join(load, "a").select("a", "b", F.xxhash64("a", part).alias("block")), "blocks")
-    members = placed.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = _with_texts(docs, profiled, members).groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_join_pairs(shared), "src long, dst long")
-    return materialize(more, "links")
-
-
-def _cross(n_buckets: int):
-    """The pairs under one shingle whose documents are in different components."""
-
-    def run(t: pa.Table) -> pa.Table:
-        nodes, label, sizes = (t.column(x).to_numpy() for x in ("node", "label", "n"))
-        order = np.argsort(nodes, kind="stable")
-        nodes, label, sizes = nodes[order], label[order], sizes[order].astype(np.int64)
-        rows: list[tuple] = []
-        if (label != label[0]).any():
-            names, size = np.unique(label, return_counts=True)
-            most = names[np.argmax(size)]
-            inner = np.flatnonzero(label != most)  # every cross pair has one of these
-            for i in range(0, len(inner), 256):
-                a = np.repeat(inner[i : i + 256], len(nodes))
-                b = np.tile(np.arange(len(nodes)), len(inner[i : i + 256]))
-                ok = (label[a] != label[b]) & _close(sizes[a], sizes[b]) & ((label[b] == most) | (a < b))
-                a, b = a[ok], b[ok]
-                rows += _packed(0, np.minimum(a, b), np.maximum(a, b), np.full(len(a), CHAINED + 1), nodes, sizes, n_buckets)
-        return _rows(rows)
 
-    return run
+def _trees(docs: DataFrame, profiled: DataFrame, members: DataFrame, shared) -> DataFrame:
+    """(src, dst): the links in every block of members(block, node, label)."""
+    return materialize(_with_texts(docs, profiled, members).groupBy("block").applyInArrow(_join(shared), "src long, dst long"), "links")
 
 
 def links(docs: DataFrame, profiled: DataFrame, bits: int) -> DataFrame:
     """(src, dst): links between set names that connect whatever all links connect."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(rarity_classes(profiled, bits))
-    total = profiled.where("slice is null").agg(F.sum("n").alias("n")).first().n or 0
-    n_buckets = max(2 * shuffle_partitions(spark), -(-total // (4 * BUCKET_TOKENS)))
-    prefixes = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_prefixes(shared, n_buckets), BUCKETS)
-    paired = materialize(prefixes.groupBy("bucket").applyInArrow(_pair_up(n_buckets, GROUP), PAIRS), "pairs")
-    sums = paired.where("kind in (0, 2)").groupBy("key").applyInArrow(_sum_pairs, SUMMED)
-    crowded = paired.where("kind = 1").select("key", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("key", F.col("m.members").alias("node"), F.col("m.sizes").alias("n"))
-    crowds = materialize(crowded, "crowds")
-    # a document's prefix shingles under which not all pairs were made may add to c
-    extra = small(materialize(crowds.groupBy("node").agg(F.count("*").alias("extra")), "crowd-counts"))
-    sums = sums.join(extra.select(F.col("node").alias("a"), F.col("extra").alias("xa")), "a", "left").join(extra.select(F.col("node").alias("b"), F.col("extra").alias("xb")), "b", "left")
-    more = F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0)))
-    first, heavy = verify(docs, profiled, sums.where((F.col("c") >= CHAINED) | (_bound() + more >= _enough())), shared)
-    left = materialize(crowds.join(heavy.withColumnRenamed("id", "node"), "node", "left_semi"), "crowds")
-    if left.isEmpty():
-        return first
-    labels = components(first)
-    told = left.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    cross = materialize(told.groupBy("key").applyInArrow(_cross(n_buckets), PAIRS), "cross-pairs")
-    both = paired.where("kind = 0").unionByName(cross).groupBy("key").applyInArrow(_sum_pairs, SUMMED)
-    asked = both.where((F.col("c") >= CHAINED) & (_bound() >= _enough()))
-    return first.unionByName(verify_pairs(docs, profiled, asked, shared))
+    shared = docs.sparkSession.sparkContext.broadcast(rarity_classes(profiled, bits))
+    edges = materialize(connections(docs, shared), "connections")
+    blocks = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    drop(edges)
+    sizes = profiled.where("slice is null and n > 0").select(F.col("node").alias("id"), "n").distinct()
+    placed = materialize(blocks.join(sizes, "id").select(F.col("label").alias("block"), F.col("id").alias("node"), "n"), "blocks")
+    load = placed.groupBy("block").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    parts = F.ceil(2 * F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS))
+    heavy = materialize(load.where((F.col("shingles") > BLOCK_SHINGLES) | (F.col("sets") > BLOCK_SETS)).select("block", parts.alias("parts")), "heavy")
+    alone = F.col("node").alias("label")
+    light = placed.join(heavy, "block", "left_anti").select("block", "node", alone)
+    found = _trees(docs, profiled, light, shared)
+    if heavy.isEmpty():
+        return found
+    dealt = materialize(placed.join(heavy, "block").select("block", "node", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "parts")
+    first = _trees(docs, profiled, dealt.select(F.xxhash64("block", "part").alias("block"), "node", alone), shared)
+    told = dealt.join(components(first).withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    pairs = told.select("block", "node", "label", "part", other).where("part <> other")
+    pairs = pairs.select(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "node", "label")
+    return found.unionByName(first).unionByName(_trees(docs, profiled, pairs, shared))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

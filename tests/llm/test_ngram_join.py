@@ -63,14 +63,23 @@ def test_against_brute_force(spark):
     assert result(spark, rows)[1] == brute(rows)
 
 
-@pytest.mark.parametrize(("group", "block"), [(2, 4_000_000), (2, 500), (16, 500)])
-def test_crowded_shingles_and_large_components(spark, monkeypatch, group, block):
-    monkeypatch.setattr(ngram_join, "GROUP", group)
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
-    rows = corpus(group)
+@pytest.mark.parametrize(("held", "shingles", "sets"), [(300, 2_000_000, 20_000), (300, 500, 20_000), (500_000, 500, 20_000), (300, 2_000_000, 4)])
+def test_small_tasks_and_large_blocks(spark, monkeypatch, held, shingles, sets):
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    rows = corpus(sets)
     assert result(spark, rows)[1] == brute(rows)
 
 
+def test_sizes_of_one_band_can_link():
+    n = np.arange(1, 100_000)
+    bands = ngram_join.band(n)
+    for k in np.unique(bands):
+        own = n[bands == k]
+        assert 4 * own.min() >= 3 * own.max()
+
+
 def test_one_of_every_component_stays(spark):
     rows = corpus(5)
     df, _ = result(spark, rows)
