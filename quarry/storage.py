@@ -26,6 +26,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 #: While it is true, a query's shuffle files go as soon as the query ends, not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to Python workers and back at a time: whole texts are long, and both sides hold a batch and its copies.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 @contextmanager
@@ -49,7 +52,7 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with settings(spark, **{CLEANUP: "true"}):
+    with settings(spark, **{CLEANUP: "true", BATCH: str(min(BATCH_ROWS, int(spark.conf.get(BATCH))))}):
         df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
