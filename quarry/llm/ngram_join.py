@@ -2,14 +2,15 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. All sets are put in one global
 order, rare shingles first: by the class of a count sketch over the whole corpus, then by hash. The
-sketch has a cell for every few shingles, up to 2^25 cells; any order gives the same links, a better
+sketch has a cell for every few shingles, up to 2^24 cells; any order gives the same links, a better
 one smaller blocks. Two sets that link have sizes within 3 : 4 and share a shingle within their
 prefixes (a set of n has a prefix of n - ceil(0.75 n) + 1), so
 
-1. every set is exploded into rows (shingle, set, size) of its prefix. Under a shingle the sets are
-   chained by size; whatever can link is connected by chains. A task first makes stars of the sets
-   that it has under one shingle in one band of sizes, and sends the smallest and the largest on, so
-   a shingle that a third of all documents share stays small;
+1. every set is exploded into rows (shingle, set, size) of its prefix. Sets under a shingle are
+   paired, and connected if the prefix shingles that they share leave room for a link. Under a
+   shingle with more than `GROUP` sets they are chained by size instead, which connects whatever can
+   link there. A task first makes stars of such a crowd as it has in one band of sizes, and sends the
+   smallest and the largest on, so a shingle that a third of all documents share stays small;
 2. the connected sets are a block. In a block the ordered sets stand in a path-compressed prefix
    tree, and every set is joined with the tree from the root: documents below a node share the
    overlap counted so far, and a subtree goes when that overlap with all that may remain on both
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,11 +43,13 @@ from quarry.operators.components import components
 WIDTH = 5
 #: A link needs intersection / union >= PART / WHOLE.
 PART, WHOLE = 3, 4
-#: The sketch has 2^16 to 2^25 cells: 64 MB at most in a task, and 8 MB once classed.
-SKETCH_BITS = (16, 25)
+#: The sketch has 2^16 to 2^24 cells: 32 MB at most in a task, and 8 MB once classed.
+SKETCH_BITS = (16, 24)
 SLICES = 64
+#: Under a shingle with so many sets all pairs are made; the sets of others are chained.
+GROUP = 16
 #: Shingles that a task gathers before it counts or chains them.
-HELD = 500_000
+HELD = 300_000
 #: Shingles and sets in one tree at most, unless two sets alone have more.
 BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 20_000
 
@@ -152,24 +155,30 @@ def _add_slices(t: pa.Table) -> pa.Table:
     return pa.table({"task": pa.array([t.column("task")[0].as_py()], pa.int64()), "slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
 
 
-def _classed(mean: float):
-    """Two bits a cell: 0 below what the mean and its noise explain, then up to 8 and 64 times that, and above."""
+def levels(mean: float) -> np.ndarray:
+    """Bounds of the classes of cells: close to the mean, which is what other shingles put into a cell, then far above it."""
+    near = np.floor(mean + np.linspace(-2, 4, 12) * mean**0.5 + 1)
     usual = mean + 4 * mean**0.5 + 4
+    return np.unique(np.concatenate((near, [8 * usual, 64 * usual])))
+
+
+def _classed(mean: float):
+    """Four bits a cell: how many of the levels it exceeds."""
+    bounds = levels(mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = []
             for c in b.column(1):
-                x = _unzip(c.as_py())
-                k = ((x > usual).astype(np.uint8) + (x > 8 * usual) + (x > 64 * usual)).astype(np.uint8).reshape(-1, 4)
-                packed.append((k[:, 0] | k[:, 1] << 2 | k[:, 2] << 4 | k[:, 3] << 6).tobytes())
+                k = np.searchsorted(bounds, _unzip(c.as_py())).astype(np.uint8).reshape(-1, 2)
+                packed.append((k[:, 0] | k[:, 1] << 4).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["slice", "cells"])
 
     return run
 
 
 def rarity_classes(profiled: DataFrame, bits: int) -> np.ndarray:
-    """The sketch's cells as classes, four to a byte.
+    """The sketch's cells as classes, two to a byte.
 
     Parts are added 64 at a time, so no task meets the parts of all tasks; the driver gets the classes, of fixed size.
     """
@@ -183,15 +192,14 @@ def rarity_classes(profiled: DataFrame, bits: int) -> np.ndarray:
         parts = materialize(parts, "sketch")
     total = profiled.where("slice is null").agg(F.sum("n").alias("n")).first().n or 0
     found = {r.slice: r.cells for r in parts.select("slice", "cells").mapInArrow(_classed(total / (1 << bits)), "slice int, cells binary").collect()}  # SLICES rows
-    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(SLICES)]) if found else np.zeros(1 << (bits - 2), np.uint8)
+    return np.concatenate([np.frombuffer(found[i], np.uint8) for i in range(SLICES)]) if found else np.zeros(1 << (bits - 1), np.uint8)
 
 
 def ordered(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A set's keys in the global order: class, then hash."""
-    cell = h & np.uint64(4 * len(classes) - 1)
-    c = (classes[(cell >> np.uint64(2)).astype(np.int64)] >> ((cell & np.uint64(3)) << np.uint64(1)).astype(np.uint8)) & 3
-    keys = (c.astype(np.uint64) << np.uint64(62)) | (h >> np.uint64(2))
-    return np.sort(keys) if c.any() else keys
+    cell = h & np.uint64(2 * len(classes) - 1)
+    c = (classes[(cell >> np.uint64(1)).astype(np.int64)] >> ((cell & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
+    return np.sort((c.astype(np.uint64) << np.uint64(60)) | (h >> np.uint64(4)))
 
 
 # --- pass 2: prefixes as rows, and what they connect ------------------------------------------
@@ -218,8 +226,8 @@ def _prefixes(shared):
             nodes.clear(), sizes.clear(), keys.clear()
             order = np.argsort(token)
             token, node, n = token[order], node[order], n[order]
-            again = token[1:] == token[:-1]
-            more = np.concatenate((again, [False])) | np.concatenate(([False], again))
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            more = np.repeat(np.diff(start) > GROUP, np.diff(start))
             yield from rows(token[~more], node[~more], n[~more], None)
             token, node, n = token[more], node[more], n[more]
             if len(token):
@@ -232,9 +240,9 @@ def _prefixes(shared):
                 ends = new | last
                 yield from rows(token[ends], node[ends], n[ends], None)
                 # stars are edges already; a token of their own lets them pass
-                node, n, star = node[~new], n[~new], star[~new]
-                apart, first = np.unique(mix(node.astype(np.uint64) ^ mix(star.astype(np.uint64))) >> np.uint64(16), return_index=True)
-                yield from rows(-1 - apart.astype(np.int64), node[first], n[first], star[first])
+                token, node, n, star = (x[~new] for x in (token, node, n, star))
+                apart = (mix(token.astype(np.uint64) ^ mix(node.astype(np.uint64))) >> np.uint64(16)).astype(np.int64)
+                yield from rows(-1 - apart, node, n, star)
 
         def rows(token, node, n, star):
             for i in range(0, len(token), 100_000):
@@ -263,13 +271,34 @@ def _prefixes(shared):
     return run
 
 
+def _bound(extra) -> Column:
+    """Whether sets that share c shingles in their prefixes, and `extra` more at most, can link; see prefix_length()."""
+    rest = lambda n: F.ceil(F.col(n) * PART / WHOLE) - 1
+    return F.col("c") + extra + F.greatest(rest("na"), rest("nb")) >= F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
+
+
 def connections(docs: DataFrame, shared) -> DataFrame:
     """(a, b): pairs of sets that connect, directly or over others, whatever sets can link."""
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_prefixes(shared), PREFIXES)
-    before = lambda c: F.lag(c).over(Window.partitionBy("token").orderBy("n", "node"))
-    rows = rows.select("node", "n", F.coalesce("star", before("node")).alias("b"), F.when(F.col("star").isNotNull(), F.col("n")).otherwise(before("n")).alias("nb"))
-    # sets between two that can link can link with their neighbours by size
-    return rows.where((F.col("node") != F.col("b")) & (WHOLE * F.least("n", "nb") >= PART * F.greatest("n", "nb"))).select(F.col("node").alias("a"), "b").distinct()
+    w = Window.partitionBy("token").orderBy("n", "node")
+    many = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.select("*", many.alias("many"), F.lag("node").over(w).alias("before"), F.lag("n").over(w).alias("n_before"))
+    rows = materialize(rows.where((F.col("many") > 1) | F.col("star").isNotNull()), "shared-shingles")
+    close = lambda x, y: WHOLE * F.least(x, y) >= PART * F.greatest(x, y)
+    stars = rows.where("star is not null").select(F.col("node").alias("a"), F.col("star").alias("b"))
+    # under a crowded shingle: sets between two that can link can link with their neighbours by size
+    crowded = rows.where((F.col("star").isNull()) & (F.col("many") > GROUP))
+    chains = crowded.where((F.col("node") != F.col("before")) & close("n", "n_before")).select(F.col("node").alias("a"), F.col("before").alias("b"))
+    # under others: pairs, if the shingles that they share leave room for a link
+    few = rows.where((F.col("star").isNull()) & (F.col("many") <= GROUP))
+    one, two = (few.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & close("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    in_crowds = rows.where((F.col("star").isNotNull()) | (F.col("many") > GROUP)).groupBy("node").agg(F.count("*").alias("extra"))
+    in_crowds = small(materialize(in_crowds, "crowds"))
+    for x in "ab":
+        pairs = pairs.join(in_crowds.select(F.col("node").alias(x), F.col("extra").alias(f"x{x}")), x, "left")
+    pairs = pairs.where(_bound(F.least(F.coalesce("xa", F.lit(0)), F.coalesce("xb", F.lit(0))))).select("a", "b")
+    return stars.unionByName(chains).unionByName(pairs).distinct()
 
 
 # --- blocks and prefix trees ------------------------------------------------------------------

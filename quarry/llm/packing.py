@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize, table
+from quarry.llm.common import materialize, release, table
 from quarry.llm.tokens import crc32, encoder, public_path
 
 CAPACITY = 4096
@@ -265,6 +265,7 @@ def _pieces(path: str, end_id: int, capacity: int):
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["item", "doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return run
 

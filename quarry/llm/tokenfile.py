@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import shared_path, shuffle_partitions, table
+from quarry.llm.common import release, shared_path, shuffle_partitions, table
 from quarry.llm.tokens import encoder, public_path
 
 SCHEMA = "doc_id long, offset long, n_tokens int, ids array<int>"
@@ -63,6 +63,7 @@ def _encode(path: str, end_id: int):
                     doc_ids, parts, sizes, held = [], [], [], 0
         if parts:
             yield flush(doc_ids, parts, sizes)
+        release()
 
     return run
 

@@ -9,7 +9,6 @@ goes through the library whole. Both give the library's ids.
 from __future__ import annotations
 
 import re
-import unicodedata  # noqa: F401  (documents that NFC is the identity on SAFE)
 import zlib
 
 import numpy as np
@@ -28,8 +27,10 @@ PIECES = {
 #: Pieces that stay one pre-token when a space stands before them.
 PLAIN = re.compile(f" ?[{LETTERS}]+")
 LOWER_FIRST = {"word_bpe_49k.json"}
-#: Distinct pre-tokens remembered per worker, a bound on its memory; later ones are encoded each time.
-REMEMBERED = 900_000
+#: Distinct pre-tokens remembered per worker, a bound on its memory; others are encoded each time.
+REMEMBERED = 200_000
+#: Marks by hash of pre-tokens met before, as most are met once only and need not be remembered.
+MARKS = 1 << 22
 
 _encoders: dict[str, Encoder] = {}
 
@@ -47,6 +48,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         name = path.rsplit("/", 1)[-1]
         self.pieces, self.lower, self.known = PIECES.get(name), name in LOWER_FIRST, {}
+        self.met = bytearray(MARKS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,7 +83,10 @@ class Encoder:
             fresh = dict(zip(plain, self._words([p if self.lower else p[1:] for p in plain], " ")))
             fresh.update(zip(other, self._library(other)))
             if len(self.known) < REMEMBERED:
-                self.known.update(fresh)
+                met = self.met
+                self.known.update((p, i) for p, i in fresh.items() if met[hash(p) % MARKS])
+                for p in fresh:
+                    met[hash(p) % MARKS] = 1
             ids = [fresh[p] if i is None else i for p, i in zip(found, ids)]
         return b"".join(ids)
 

@@ -63,8 +63,9 @@ def test_against_brute_force(spark):
     assert result(spark, rows)[1] == brute(rows)
 
 
-@pytest.mark.parametrize(("held", "shingles", "sets"), [(300, 2_000_000, 20_000), (300, 500, 20_000), (500_000, 500, 20_000), (300, 2_000_000, 4)])
-def test_small_tasks_and_large_blocks(spark, monkeypatch, held, shingles, sets):
+@pytest.mark.parametrize(("group", "held", "shingles", "sets"), [(2, 300, 2_000_000, 20_000), (16, 300, 500, 20_000), (1, 500_000, 500, 20_000), (4, 500_000, 2_000_000, 4)])
+def test_crowds_small_tasks_and_large_blocks(spark, monkeypatch, group, held, shingles, sets):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "HELD", held)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
