@@ -33,6 +33,7 @@ LAYOUT = {
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
+    "maxRecordsPerFile": "0",  # a task writes one file, as offsets count from its first row
 }
 
 
@@ -103,7 +104,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
     """(file, base): ids in all earlier files; one row per file, from the metadata columns alone."""
     files = spark.read.schema(SCHEMA).parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("n"))
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
     return files.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("base"))
 
 

@@ -45,7 +45,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold a special token's name go through the library whole
+        special = sorted({re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
+        self.special = re.compile("|".join(special) or r"(?!)", re.I)
         name = path.rsplit("/", 1)[-1]
         self.pieces, self.lower, self.known = PIECES.get(name), name in LOWER_FIRST, {}
         self.met = bytearray(MARKS)
@@ -71,7 +73,7 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.pieces is None or SAFE.search(text):
+        if self.pieces is None or SAFE.search(text) or self.special.search(text):
             return self._library([text])[0]
         found = self.pieces.findall(text.lower() if self.lower else text)
         ids = list(map(self.known.get, found))

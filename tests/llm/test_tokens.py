@@ -18,7 +18,6 @@ TEXTS = [
 
 def library(name, text, end):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [*(t.encode(text or "", add_special_tokens=False).ids), end]
 
 
@@ -145,3 +144,21 @@ def test_islands_and_levels(spark, monkeypatch):
     for r in got:
         fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
     assert max(fills.values()) <= 4096 and len(fills) <= 1.2 * packing.lower_bound(np.array(lengths), 4096)
+
+
+def test_files_are_not_split_and_special_tokens_are_the_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(i, f"text {i} <|endoftext|> end") for i in range(30)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "4")
+    try:
+        tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), path, partitions=3)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    before = 0
+    for r in sorted(tokenfile.token_digests(spark, str(tmp_path / "t")).collect()):
+        ids = plain.encode(rows[r.doc_id][1], add_special_tokens=False).ids
+        assert 50256 in ids and (r.start, r.n_tokens) == (before, len(ids) + 1)
+        before += len(ids) + 1
