@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 
 ROUNDS = 8
-KEY = "a key of the caller's"
-#: Cycle walking stops when in range; a step fails with probability below 0.3, so 64 never suffice once in 10^33 values.
+#: The setting with the caller's key; KEY is only for tests and trials, as anybody can read it here.
+KEY_SETTING, KEY = "spark.quarry.pseudonym.key", "a key of the caller's"
+#: Cycle walking stops when in range; a step fails with probability below 0.6, so 64 don't suffice once in 10^14 values.
 WALK = 64
 
 # What each kind looks like. Earlier kinds win where two match at one place.
@@ -141,13 +142,19 @@ FIRST_DAY, DAYS = "1900-01-01", 73049  # 1900-01-01 to 2099-12-31
 
 
 def _date(v: Column, key: str) -> Column:
+    """ISO and day-first dates among all days; what is a date only month first, among the days after the 12th, which stay so."""
     form = F.when(v.contains("-"), F.lit("yyyy-MM-dd")).when(v.contains("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
-    iso = F.when(v.contains("-"), v).otherwise(F.concat(F.right(v, F.lit(4)), F.lit("-"), F.substring(v, 4, 2), F.lit("-"), F.left(v, F.lit(2))))
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    to = _walk(F.lpad(n.cast("string"), 5, "0"), lambda x: x < F.lit(str(DAYS)), "date", key).cast("int")
-    out = _let(F.date_add(F.lit(FIRST_DAY).cast("date"), to), lambda new: F.call_function("date_format", new, form))
-    return F.when(n.between(0, DAYS - 1), out)
+    year, one, two = F.right(v, F.lit(4)), F.left(v, F.lit(2)), F.substring(v, 4, 2)
+    iso = F.when(v.contains("-"), v).otherwise(F.concat_ws("-", year, two, one))
+    first = F.lit(FIRST_DAY).cast("date")
+    number = lambda x: F.datediff(F.try_to_date(x, "yyyy-MM-dd"), first)
+    day = lambda x: F.date_add(first, x.cast("int"))
+    within = lambda x: x < F.lit(str(DAYS))
+    moved = lambda n, ok: day(_walk(F.lpad(n.cast("string"), 5, "0"), ok, "date", key))
+    usual, other = number(iso), F.when(v.contains("/"), number(F.concat_ws("-", year, one, two)))
+    out = _let(moved(usual, within), lambda new: F.call_function("date_format", new, form))
+    late = _let(moved(other, lambda x: within(x) & (F.dayofmonth(day(x)) > 12)), lambda new: F.call_function("date_format", new, F.lit("MM/dd/yyyy")))
+    return F.when(usual.between(0, DAYS - 1), out).when(usual.isNull() & other.between(0, DAYS - 1), late)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -178,8 +185,11 @@ def _phone(v: Column, key: str) -> Column:
 
 
 def _email(v: Column, key: str) -> Column:
+    """Permuted in lower case, so that addresses stay linked in any case; capitals are put back where they were."""
     ending = F.regexp_extract(v, r"\.[A-Za-z]+$", 0)
-    return F.concat(feistel(F.substring(v, F.lit(1), F.length(v) - F.length(ending)), "email", key), ending)
+    name = F.substring(v, F.lit(1), F.length(v) - F.length(ending))
+    made = _let(feistel(F.lower(name), "email", key), lambda new: F.array_join(F.zip_with(F.split(name, "", -1), F.split(new, "", -1), lambda a, b: F.when(a.between("A", "Z"), F.upper(b)).otherwise(b)), ""))
+    return F.concat(made, ending)
 
 
 def _secret(v: Column, key: str) -> Column:
@@ -198,8 +208,17 @@ def pseudonym(v: Column, key: str = KEY) -> Column:
     return F.coalesce(valid, F.struct(F.lit(None).cast("string").alias("kind"), v.alias("value")))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with personal data in text replaced, and a column `_found`: the kinds of the values replaced."""
+def key_of(spark: SparkSession) -> str:
+    """The caller's key, from the session's setting KEY_SETTING."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with personal data in text replaced, and a column `_found`: the kinds of the values replaced.
+
+    The key is the one given, else the session's.
+    """
+    key = key or key_of(docs.sparkSession)
     df = docs.withColumn("_hits", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_new", F.when(F.size("_hits") > 0, F.transform("_hits", lambda v: pseudonym(v, key))))
     df = df.withColumn("_found", F.coalesce(F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
@@ -209,7 +228,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     return df.withColumn("text", F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))).drop("_hits", "_new")
 
 
-def clean(docs: DataFrame, key: str = KEY) -> DataFrame:
+def clean(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The rows of docs with personal data replaced, and n_chars, if there, made to fit."""
     columns = docs.columns
     out = pseudonymise(docs.select("*"), key)

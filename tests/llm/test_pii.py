@@ -125,3 +125,22 @@ def test_long_secrets_are_replaced_whole(spark):
     assert got[0][0] == f"key {feistel(long, 'secret')} end" and got[1][0] == f"key {feistel(late, 'secret')} end"
     assert got[2] == ("z" * 3000, []) and got[3][0] == feistel("w7" * 20000, "secret")
     assert [got[i][1] for i in range(4)] == [["secret"], ["secret"], [], ["secret"]]
+
+
+def test_dates_month_first_stay_so_and_are_permuted_one_to_one(spark):
+    days = [f"{m:02d}/{d:02d}/1985" for m in range(1, 13) for d in range(13, 29)]
+    rows = spark.createDataFrame([(i, f"born {x} here") for i, x in enumerate(days)], "doc_id long, text string")
+    out = [r.text.split()[1] for r in pii.pseudonymise(rows).collect()]
+    assert len(set(out)) == len(days) and not set(out) & set(days[:3])
+    assert all(int(x[:2]) <= 12 < int(x[3:5]) for x in out)
+
+
+def test_addresses_are_linked_in_any_case_and_keys_differ(spark):
+    rows = spark.createDataFrame([(1, "Ann@X.org"), (2, "ann@x.org"), (3, "bob@x.org")], "doc_id long, text string")
+    one, two = ({r.doc_id: r.text for r in pii.pseudonymise(rows, k).collect()} for k in ("a", "b"))
+    assert one[1].lower() == one[2] != one[3] and one[1] != one[2] and one[2] != two[2]
+    spark.conf.set(pii.KEY_SETTING, "b")
+    try:
+        assert {r.doc_id: r.text for r in pii.pseudonymise(rows).collect()} == two
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
