@@ -122,12 +122,12 @@ def _sample(left: DataFrame, eps: float) -> list[int]:
 
 
 def sampled_min_boundary(left: DataFrame, eps: float) -> float:
-    return 2 * (1 + eps) * min(_sample(left, eps))
+    return min(_sample(left, eps))
 
 
 def sampled_median_boundary(left: DataFrame, eps: float) -> float:
     d = sorted(_sample(left, eps))
-    return (1 + eps) * max(d[len(d) // 2], left.agg(F.min("d").alias("x")).first().x)
+    return d[len(d) // 2]
 
 
 def approximate(g: Graph, eps: float = 0.001, boundary: Boundary = average_boundary, max_rounds: int = 10_000) -> DataFrame:

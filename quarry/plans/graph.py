@@ -181,13 +181,16 @@ def _degeneracy_reversed(g: Graph) -> DataFrame:
     return order.width(g, flipped).join(order.is_permutation(ranks), how="cross")
 
 
-def _approximate_check(boundary, factor: float):
+def _approximate_check(boundary, factor: float | None):
+    """The order's width against `factor` times the degeneracy, or, for boundaries without such a promise, the largest degree."""
+
     def run(g: Graph) -> DataFrame:
         g = g.kept()
         ranks = order.approximate(g, 0.001, boundary)
         top = order.core_numbers(g).agg(F.max("core").alias("k"))
+        bound = F.lit(factor) * F.col("k") if factor else F.lit(g.degrees().agg(F.max("degree").alias("d")).first().d)
         out = order.width(g, ranks).join(order.is_permutation(ranks), how="cross").join(top, how="cross")  # one row each
-        return out.select("is_permutation", F.col("k").alias("degeneracy"), ((F.col("width") >= F.col("k")) & (F.col("width") <= factor * F.col("k"))).alias("within_bound"))
+        return out.select("is_permutation", F.col("k").alias("degeneracy"), ((F.col("width") >= F.col("k")) & (F.col("width") <= bound)).alias("within_bound"))
 
     return run
 
@@ -195,8 +198,8 @@ def _approximate_check(boundary, factor: float):
 _WITHIN = using(f"{CORES} SELECT true AS is_permutation, max(core)::BIGINT AS degeneracy, true AS within_bound FROM cores", recursive=True)
 on_parts("approximate_order_average", _WITHIN)(_approximate_check(order.average_boundary, 2 * 1.001))
 on_parts("approximate_order_min", _WITHIN)(_approximate_check(order.min_boundary, 2 * 1.001 + 1))
-on_parts("approximate_order_sampled_min", _WITHIN)(_approximate_check(order.sampled_min_boundary, 1e9))
-on_parts("approximate_order_sampled_median", _WITHIN)(_approximate_check(order.sampled_median_boundary, 1e9))
+on_parts("approximate_order_sampled_min", _WITHIN)(_approximate_check(order.sampled_min_boundary, None))
+on_parts("approximate_order_sampled_median", _WITHIN)(_approximate_check(order.sampled_median_boundary, None))
 
 _LATER = " , r AS (SELECT id, row_number() OVER (ORDER BY degree, id) - 1 AS rank FROM deg), later AS (SELECT a.id, count(b.id) AS later FROM r a LEFT JOIN e ON e.src = a.id LEFT JOIN r b ON b.id = e.dst AND b.rank > a.rank GROUP BY 1)"
 on_parts("order_width", using(f"{_LATER} SELECT max(later)::BIGINT AS width FROM later"))(lambda g: order.width(g, order.by_degree(g)))
