@@ -22,6 +22,8 @@ from quarry.llm.common import release, shared_path, shuffle_partitions, table
 from quarry.llm.tokens import encoder, public_path
 
 SCHEMA = "doc_id long, offset long, n_tokens int, ids array<int>"
+#: Pre-tokens that a worker remembers: it has little else to keep here.
+REMEMBERED = 900_000
 LAYOUT = {
     "compression": "zstd",
     "parquet.compression.codec.zstd.level": "1",
@@ -39,7 +41,7 @@ LAYOUT = {
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, before = encoder(path), np.array([end_id], "<u4").tobytes(), 0
+        enc, end, before = encoder(path, REMEMBERED, at_once=True), np.array([end_id], "<u4").tobytes(), 0
 
         def flush(doc_ids, parts, sizes):
             nonlocal before

@@ -27,16 +27,16 @@ PIECES = {
 #: Pieces that stay one pre-token when a space stands before them.
 PLAIN = re.compile(f" ?[{LETTERS}]+")
 LOWER_FIRST = {"word_bpe_49k.json"}
-#: Distinct pre-tokens remembered per worker, a bound on its memory; others are encoded each time.
+#: Distinct pre-tokens remembered per worker unless told otherwise, a bound on its memory; others are encoded each time.
 REMEMBERED = 200_000
 #: Marks by hash of pre-tokens met before, as most are met once only and need not be remembered.
 MARKS = 1 << 22
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int, at_once: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,9 +48,11 @@ class Encoder:
         # texts that hold a special token's name go through the library whole
         special = sorted({re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.special = re.compile("|".join(special) or r"(?!)", re.I)
+        same = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.lead, self.remembered = re.match(r"\W*", same)[0], remembered  # looked for first, as it is quick
         name = path.rsplit("/", 1)[-1]
         self.pieces, self.lower, self.known = PIECES.get(name), name in LOWER_FIRST, {}
-        self.met = bytearray(MARKS)
+        self.met = None if at_once else bytearray(MARKS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,11 +71,19 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return out
 
+    def _again(self, fresh: dict[str, bytes]) -> dict[str, bytes]:
+        """Those met before; the others are marked."""
+        marks = {p: hash(p) % MARKS for p in fresh}
+        again = {p: fresh[p] for p, mark in marks.items() if self.met[mark]}
+        for mark in marks.values():
+            self.met[mark] = 1
+        return again
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.pieces is None or SAFE.search(text) or self.special.search(text):
+        if self.pieces is None or SAFE.search(text) or (self.lead in text and self.special.search(text)):
             return self._library([text])[0]
         found = self.pieces.findall(text.lower() if self.lower else text)
         ids = list(map(self.known.get, found))
@@ -84,19 +94,18 @@ class Encoder:
             other = list(set(new).difference(plain))
             fresh = dict(zip(plain, self._words([p if self.lower else p[1:] for p in plain], " ")))
             fresh.update(zip(other, self._library(other)))
-            if len(self.known) < REMEMBERED:
-                met = self.met
-                self.known.update((p, i) for p, i in fresh.items() if met[hash(p) % MARKS])
-                for p in fresh:
-                    met[hash(p) % MARKS] = 1
+            if len(self.known) < self.remembered:
+                self.known.update(fresh if self.met is None else self._again(fresh))
             ids = [fresh[p] if i is None else i for p, i in zip(found, ids)]
         return b"".join(ids)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED, at_once: bool = False) -> Encoder:
+    """This worker's encoder; `at_once` remembers pre-tokens when they are met first, not again, for more memory and less work."""
+    wanted = (path, remembered, at_once)
+    if wanted not in _encoders:
+        _encoders[wanted] = Encoder(*wanted)
+    return _encoders[wanted]
 
 
 def public_path(name: str) -> str:
