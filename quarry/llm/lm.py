@@ -140,23 +140,28 @@ BIGRAMS = "w long, h long, doc long, times long"
 _NAMES = [x.split()[0] for x in BIGRAMS.split(", ")]
 
 
-def _in_text(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A text's distinct bigrams: h, w, and their times with, in the lower half, those of h as a context; first its first word."""
+def _in_text(codes: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """A text's distinct bigrams with words in the slice: h, w, and their times with, in the lower half, those of h as a
+    context; first its first word."""
     order = np.argsort(codes)
     by = codes[order]
     new = np.ones(len(by), bool)
     np.not_equal(by[1:], by[:-1], out=new[1:])
     own, rank = by[new], np.empty(len(by), np.int64)
     rank[order] = np.cumsum(new) - 1
-    pairs = rank[:-1] * len(own) + rank[1:]
+    here = (mix(own.astype(np.uint64)) >> np.uint64(40)) % np.uint64(parts) == part
+    pairs = (rank[:-1] * len(own) + rank[1:])[here[rank[1:]]]
     pairs.sort()
-    new = np.ones(len(by), bool)
+    new = np.ones(len(pairs) + 1, bool)
     np.not_equal(pairs[1:], pairs[:-1], out=new[1:-1])
     at = np.flatnonzero(new)  # the last is the end
     pair = pairs[at[:-1]]
     h = pair // len(own)
     contexts = np.bincount(rank[:-1], minlength=len(own))
-    return np.append(FIRST, own[h]), np.append(codes[:1], own[pair - h * len(own)]), np.append(1 << 32, np.diff(at) << 32 | contexts[h])
+    found = own[h], own[pair - h * len(own)], np.diff(at) << 32 | contexts[h]
+    if here[rank[0]]:
+        found = np.append(FIRST, found[0]), np.append(codes[:1], found[1]), np.append(1 << 32, found[2])
+    return found
 
 
 def _bigrams(shared, part: int, parts: int):
@@ -181,15 +186,14 @@ def _bigrams(shared, part: int, parts: int):
             hot = (h[at] < HASHED) & (_places(pairs, h[at] << BITS | w[at]) >= 0)
             salt = mix(np.where(hot, docs[doc[at]], h[at]).astype(np.uint64)) & np.uint64(SALTS - 1)
             w[at] |= salt.astype(np.int64) << BITS | np.where(hot, KNOWN, 0)
-            own = np.flatnonzero(mix(w.astype(np.uint64)) % np.uint64(parts) == part) if parts > 1 else np.arange(len(w))
-            yield from _chunks([w[own], h[own], docs[doc[own]], times[own]], _NAMES)
+            yield from _chunks([w, h, docs[doc], times], _NAMES)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = words_of(text)
                 if len(x):
                     at = words.places(x)
-                    held.append(_in_text(np.where(at >= 0, at + 1, x.astype(np.int64) | HASHED)))
+                    held.append(_in_text(np.where(at >= 0, at + 1, x.astype(np.int64) | HASHED), part, parts))
                     names.append(doc)
                     size += len(held[-1][0])
                 if size > HELD:
