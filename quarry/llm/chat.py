@@ -4,9 +4,8 @@ The lines of a message have a quote level, the number of `>` before them. Runs o
 are passages. Quoted passages, and their single lines, are normalised (lower case, single spaces) and
 hashed, and joined to the first message of the conversation that wrote the same as its own text. The
 message that most of a message's level-1 text comes from is the one it replies to, if it is earlier.
-Replies follow what they answer: a message's place is given by the path of turns from the root of its
-thread, found by pointer jumping, so a thread of length n takes log n joins. Lines that introduce a
-quote (`On ... wrote:`) go with it.
+Replies follow what they answer: a thread's messages are ranked along a walk through it by pointer
+jumping, so a thread of length n takes log n joins of rows of fixed size. Lines that introduce a quote (`On ... wrote:`) go with it.
 
 Everything is SQL functions and joins. An original is one row per conversation and hash, so a line
 that everybody writes or quotes makes no pairs; the order comes from a range partitioning, so a
@@ -82,15 +81,31 @@ def parents(found: DataFrame) -> DataFrame:
     return sums.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("l"), F.col("size"), F.col("of"))).alias("best")).select("conv_id", "turn", F.col("best.of").alias("parent"))
 
 
-def paths(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent, path): turns from the thread's root to the message; each round doubles what a path covers."""
-    state = materialize(replies.select("conv_id", "turn", "parent", F.col("parent").alias("top"), F.array("turn").alias("path")), "paths")
-    while not state.where("top is not null").isEmpty():
-        above = state.select("conv_id", F.col("turn").alias("top"), F.col("path").alias("before"), F.col("top").alias("higher"))
-        joined = state.join(above, ["conv_id", "top"], "left")
-        path = F.when(F.col("top").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("before", F.array("top")), "path"))
-        state = materialize(joined.select("conv_id", "turn", "parent", F.col("higher").alias("top"), path.alias("path")), "paths")
-    return state.drop("top")
+def tour(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent, root, after, depth) of every message in a thread: `after` falls along the thread, `depth` is 0 at its root.
+
+    A thread is walked as a list with two places a message, one going down into it and one coming up.
+    Each round of pointer jumping doubles the stretch a place has counted, from itself towards the
+    end: messages entered, and entered less left. Rows are of fixed size, however long the thread.
+    """
+    replies = materialize(replies.select("conv_id", "turn", "parent"), "replies")
+    roots = replies.select("conv_id", F.col("parent").alias("turn")).distinct().join(replies.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+    first = replies.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    ranked = materialize(numbered(replies, ["conv_id", "parent", "turn"], "n"), "siblings")
+    later = ranked.select((F.col("n") - 1).alias("n"), F.col("conv_id").alias("c"), F.col("parent").alias("p"), F.col("turn").alias("sibling"))
+    nexts = ranked.join(later, "n").where((F.col("conv_id") == F.col("c")) & (F.col("parent") == F.col("p"))).select("conv_id", "turn", "sibling")
+    nodes = replies.unionByName(roots.withColumn("parent", F.lit(None).cast("long"))).join(first, ["conv_id", "turn"], "left").join(nexts, ["conv_id", "turn"], "left")
+    place = lambda up, to, to_up, entered, left: F.struct(F.lit(up).alias("up"), to.alias("to"), to_up.alias("to_up"), F.lit(entered).cast("long").alias("after"), F.lit(left).cast("long").alias("open"))
+    down = place(False, F.coalesce("child", "turn"), F.col("child").isNull(), 1, 1)
+    up = place(True, F.coalesce("sibling", "parent"), F.col("sibling").isNull(), 0, -1)
+    state = nodes.select("conv_id", "turn", "parent", F.explode(F.array(down, up)).alias("x")).select("conv_id", "turn", "parent", "x.*")
+    state = materialize(state.withColumn("root", F.when(F.col("to").isNull(), F.col("turn"))), "tour")
+    while not state.where("to is not null").isEmpty():
+        ahead = state.select("conv_id", F.col("turn").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("t"), F.col("to_up").alias("u"), F.col("after").alias("a"), F.col("open").alias("o"), F.col("root").alias("r"))
+        joined = state.join(ahead, ["conv_id", "to", "to_up"], "left")
+        more = lambda c, by: (F.col(c) + F.coalesce(by, F.lit(0))).alias(c)
+        state = materialize(joined.select("conv_id", "turn", "parent", "up", F.col("t").alias("to"), F.col("u").alias("to_up"), more("after", "a"), more("open", "o"), F.coalesce("root", "r").alias("root")), "tour")
+    return state.where(~F.col("up")).select("conv_id", "turn", "parent", "root", "after", (-F.col("open")).alias("depth"))
 
 
 def segment(role: Column, text: Column) -> Column:
@@ -102,14 +117,14 @@ def conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, position (from 0, in reply order), turn, role, text without quotes, parent_turn, depth, n_quotes, n_linked, segment."""
     parsed = materialize(parse(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))), "messages")
     found = materialize(links(parsed), "quote-links")
-    told = paths(parents(found)).join(found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked")), ["conv_id", "turn"])
+    told = tour(parents(found)).join(found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked")), ["conv_id", "turn"], "left")
     rows = parsed.drop("passages", "text").join(told, ["conv_id", "turn"], "left")
-    rows = rows.withColumn("path", F.coalesce("path", F.array("turn")))
-    ranked = materialize(numbered(rows, ["conv_id", "path", "role", "own"], "rank"), "ranked")
+    rows = rows.withColumn("root", F.coalesce("root", "turn")).withColumn("place", -F.coalesce("after", F.lit(0)))
+    ranked = materialize(numbered(rows, ["conv_id", "root", "place", "turn", "role", "own"], "rank"), "ranked")
     base = materialize(ranked.groupBy("conv_id").agg(F.min("rank").alias("base")), "conversations")
     placed = ranked.join(base.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
     return placed.select(
-        "conv_id", (F.col("rank") - F.col("base")).alias("position"), "turn", "role", F.col("own").alias("text"), F.col("parent").alias("parent_turn"), (F.size("path") - 1).cast("long").alias("depth"), "n_quotes",
+        "conv_id", (F.col("rank") - F.col("base")).alias("position"), "turn", "role", F.col("own").alias("text"), F.col("parent").alias("parent_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), segment(F.col("role"), F.col("own")).alias("segment"),
     )
 
