@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which run() writes as Parquet to the
 shared folder and reads again for the next.
+
+Every stage keeps the columns of its documents but the last, whatever they are called, and gives no
+rows for an empty table. Null and empty texts have no words: the quality rules reject them; by
+themselves, the near-duplicate stage keeps each, the leak stage keeps them, personal data leaves them
+as they are, and packing makes them the end token alone. Texts of any length are read whole. Rows
+equal in doc_id and text are each judged alike, but the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
