@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import cliques
 from quarry.operators.graph import Graph
+from quarry.storage import materialize
 
 # Named patterns as edge lists.
 PATTERNS = {
@@ -82,11 +84,71 @@ def automorphisms(edges: list[tuple[int, int]]) -> int:
     return count
 
 
+#: Occurrences of a pattern as a sum of the subgraph counts below, each times its factor: of any, then of induced ones.
+#: An induced count takes away what denser patterns on the same vertices hold of it.
+ANY = {"triangle": {"triangles": 1}, "path3": {"paths": 1}, "cycle4": {"cycles": 1}, "diamond": {"diamonds": 1}, "clique4": {"cliques": 1}, "tailed_triangle": {"tails": 1}}
+INDUCED = ANY | {
+    "path3": {"paths": 1, "triangles": -3},
+    "cycle4": {"cycles": 1, "diamonds": -1, "cliques": 3},
+    "diamond": {"diamonds": 1, "cliques": -6},
+    "tailed_triangle": {"tails": 1, "diamonds": -4, "cliques": 12},
+}
+
+
+def _choose_two(x: str) -> Column:
+    return F.coalesce(F.sum(F.expr(f"{x} * ({x} - 1) div 2")), F.lit(0)).cast("long")
+
+
+def _cycles(g: Graph) -> DataFrame:
+    """4-cycles, each at its vertex u of highest (degree, id): pairs of paths u - w - v of lower w and v.
+
+    A path is found at w, the end of u's edge with fewer neighbours, so a hub makes no wedges of its own.
+    """
+    d = g.degrees().select("id", "degree")
+    up = g.by_degree().select(F.col("src").alias("w"), F.col("dst").alias("u")).join(d.select(F.col("id").alias("u"), F.col("degree").alias("du")), "u")
+    near = g.edges.select(F.col("src").alias("w"), F.col("dst").alias("v")).join(d.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v")
+    below = (F.col("dv") < F.col("du")) | ((F.col("dv") == F.col("du")) & (F.col("v") < F.col("u")))
+    return up.join(near, "w").where(below).groupBy("u", "v").agg(F.count("*").alias("n")).agg(_choose_two("n").alias("cycles"))
+
+
+def subgraphs(g: Graph, wanted: set[str]) -> DataFrame:
+    """One row with the counts wanted: paths of 3, triangles, 4-cycles, edges with two triangles on them (diamonds), triangles with a tail, 4-cliques."""
+    parts = []
+    if wanted & {"triangles", "diamonds", "tails"}:
+        found = materialize(cliques.triangles(g), "triangles")
+    if "triangles" in wanted:
+        parts.append(found.agg(F.count("*").cast("long").alias("triangles")))
+    if "paths" in wanted:
+        parts.append(g.degrees().agg(_choose_two("degree").alias("paths")))
+    if "cycles" in wanted:
+        parts.append(_cycles(g))
+    if "diamonds" in wanted:
+        sides = found.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("b").alias("u"), F.col("c").alias("v")))).alias("s"))
+        parts.append(sides.groupBy("s.u", "s.v").agg(F.count("*").alias("n")).agg(_choose_two("n").alias("diamonds")))
+    if "tails" in wanted:
+        ends = found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+        parts.append(ends.join(g.degrees(), "id").agg(F.coalesce(F.sum(F.col("n") * (F.col("degree") - 2)), F.lit(0)).cast("long").alias("tails")))
+    if "cliques" in wanted:
+        parts.append(cliques.clique_count(g, 4).select("cliques"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, how="cross")  # one row each
+    return out
+
+
 def count(g: Graph, name: str, induced: bool = True) -> DataFrame:
-    """One row: embeddings, and occurrences (embeddings over automorphisms)."""
+    """One row: embeddings, and occurrences (embeddings over automorphisms).
+
+    Patterns of up to four vertices are counted from triangles, cliques and wedges without making an embedding; the others are enumerated.
+    """
     edges = PATTERNS[name]
-    rows = embeddings(g, edges, induced).agg(F.count("*").cast("long").alias("embeddings"))
-    return rows.select(F.lit(name).alias("pattern"), F.lit(induced).alias("induced"), "embeddings", F.floor(F.col("embeddings") / automorphisms(edges)).cast("long").alias("occurrences"))
+    same, terms = automorphisms(edges), (INDUCED if induced else ANY).get(name)
+    if terms:
+        total = sum((F.col(t) * k for t, k in terms.items()), F.lit(0))
+        rows = subgraphs(g, set(terms)).select((total * same).cast("long").alias("embeddings"))
+    else:
+        rows = embeddings(g, edges, induced).agg(F.count("*").cast("long").alias("embeddings"))
+    return rows.select(F.lit(name).alias("pattern"), F.lit(induced).alias("induced"), "embeddings", F.expr(f"embeddings div {same}").alias("occurrences"))
 
 
 def first(g: Graph, edges: list[tuple[int, int]], induced: bool = True) -> DataFrame:

@@ -10,6 +10,9 @@ from quarry.functions.similarity import METRICS, similarity
 from quarry.operators.graph import Graph, normalise, numbered
 from quarry.storage import materialize
 
+#: Rows up to which a leading part of an order is taken by a limit.
+FEW = 10_000
+
 
 def common(g: Graph) -> DataFrame:
     """(u, v, common, adamic, resource) for u < v with a shared neighbour: wedges, summed by their ends.
@@ -46,7 +49,14 @@ def predict(g: Graph, metric: str, q: int) -> DataFrame:
     if metric in ("total_neighbours", "preferential_attachment"):
         return _predict_by_degree(g, metric, q)
     rows = scored(common(g), g, [metric]).join(e, ["u", "v"], "left_anti")
-    return rows.select("u", "v", F.col(metric).alias("score")).orderBy(F.desc("score"), "u", "v").limit(q)
+    rows = rows.select("u", "v", F.col(metric).alias("score"))
+    return _leading(rows, [F.desc("score"), F.col("u"), F.col("v")], q).drop("place") if q > FEW else rows.orderBy(F.desc("score"), "u", "v").limit(q)
+
+
+def _leading(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of an order, with their `place`; more than a few are numbered by partitions, as one task can't hold them."""
+    few = rows.orderBy(*order).limit(n) if n <= FEW else rows
+    return numbered(few, order, "place").where(F.col("place") < n)
 
 
 def _predict_by_degree(g: Graph, metric: str, q: int) -> DataFrame:
@@ -77,7 +87,7 @@ def _predict_by_degree(g: Graph, metric: str, q: int) -> DataFrame:
 def sample_edges(g: Graph, n: int, seed: int = 0) -> DataFrame:
     """(u, v, place): n edges chosen by hash, all equally likely."""
     e = g.half.select(F.col("src").alias("u"), F.col("dst").alias("v")).withColumn("k", h2(F.col("u"), F.col("v"), seed))
-    return numbered(e.orderBy("k", "u", "v").limit(n), ["k", "u", "v"], "place").select("u", "v", "place")
+    return _leading(e, ["k", "u", "v"], n).select("u", "v", "place")
 
 
 def sample_non_edges(g: Graph, n: int, top: int, seed: int = 0, tries: int = 4) -> DataFrame:
@@ -87,7 +97,7 @@ def sample_non_edges(g: Graph, n: int, top: int, seed: int = 0, tries: int = 4)
     rows = spark.range(0, n * tries).select("id", (choice(h(i, seed + 1), top) + 1).alias("x"), (choice(h2(i, i, seed + 2), top) + 1).alias("y"))
     rows = rows.where("x <> y").select("id", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).groupBy("u", "v").agg(F.min("id").alias("id"))
     rows = rows.join(g.half.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
-    return numbered(rows.orderBy("id").limit(n), ["id"], "place").select("u", "v", "place")
+    return _leading(rows, ["id"], n).select("u", "v", "place")
 
 
 def split(g: Graph, rate: float, seed: int = 0) -> tuple[Graph, DataFrame]:

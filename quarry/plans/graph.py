@@ -13,16 +13,11 @@ from quarry.functions.hashing import sql_choice, sql_h, sql_h2
 from quarry.functions.similarity import METRICS
 from quarry.operators import cliques, color, order, pattern, similarity, traverse
 from quarry.operators.graph import Graph, is_directed
-from quarry.plans.sql import CORES, DERIVED, pairs, text, using
+from quarry.plans.sql import CORES, DERIVED, PAIRS, text, using
 from quarry.sources.graphs import part_graph, read_table, rmat, uniform
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: DuckDB takes over 12 s at sf0.01 or over 8 s at sf0.001 for these over all lines: NAME_all_parts has no SQL and is tested by brute force on small tables.
-NO_WHOLE_SQL = {
-    "directed_test", "clique_count_4", "clique_count_6", "clique_count_by_order", "maximal_cliques", "maximal_cliques_by_level", "maximal_cliques_with_isolated", "maximal_clique_sizes", "maximal_cliques_by_degeneracy",
-    "pattern_induced_cycle4", "pattern_any_cycle4",
-}
 
 
 def plan(name: str, sql: str | None = None):
@@ -35,24 +30,11 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
-def on_lines(name: str, sql: str | None = None, flag: str | None = "R"):
-    """A query whose function takes (spark, sf_dir, flag), and NAME_all_parts: the same operator over all lines of the table."""
-
-    def add(f):
-        plan(name, sql)(lambda spark, sf_dir: f(spark, sf_dir, flag))
-        if flag is not None:
-            whole = sql.replace(pairs(flag), pairs(None)) if sql and name not in NO_WHOLE_SQL else None
-            plan(f"{name}_all_parts", whole)(lambda spark, sf_dir: f(spark, sf_dir, None))
-        return f
-
-    return add
-
-
-def on_parts(name: str, sql: str | None = None, isolated: bool = False, flag: str | None = "R"):
-    """The same for a function that takes the graph of parts."""
+def on_parts(name: str, sql: str | None = None, isolated: bool = False):
+    """A query whose function takes the graph of parts, made of all lines of the table."""
 
     def add(f):
-        on_lines(name, sql, flag)(lambda spark, sf_dir, only: f(part_graph(spark, sf_dir, isolated, only)))
+        plan(name, sql)(lambda spark, sf_dir: f(part_graph(spark, sf_dir, isolated)))
         return f
 
     return add
@@ -74,7 +56,7 @@ on_parts(
     using(" SELECT count(*)::BIGINT AS n, (sum(degree) / 2)::BIGINT AS m, max(degree) AS max_degree, min(degree) AS min_degree, round(avg(degree), 6) AS mean_degree FROM deg"),
 )(lambda g: g.stats())
 on_parts("isolated_removed", using(" SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM deg"), isolated=True)(lambda g: g.without_isolated())
-on_parts("directed_test", using(" SELECT EXISTS (SELECT 1 FROM half h WHERE NOT EXISTS (SELECT 1 FROM half x WHERE x.src = h.dst AND x.dst = h.src)) AS directed"))(lambda g: is_directed(g.half))
+on_parts("directed_test", using(" SELECT (SELECT count(*) FROM half h JOIN half x ON x.src = h.dst AND x.dst = h.src) < (SELECT count(*) FROM half) AS directed"))(lambda g: is_directed(g.half))
 
 
 @on_parts("adjacency_test", using(" SELECT id AS u, id + 1 AS v, EXISTS (SELECT 1 FROM half WHERE src = id AND dst = id + 1) AS connected FROM deg"))
@@ -231,13 +213,12 @@ on_parts(
 # --- triangles and cliques -----------------------------------------------------------------------
 
 _COUNT = using(f"{_TRI} SELECT count(*)::BIGINT AS triangles FROM t")
-on_parts("triangle_total", _COUNT)(cliques.triangle_total)
-on_parts("triangle_total_by_join", _COUNT)(cliques.triangle_total_by_join)
-on_parts("triangle_total_all_parts", using(f"{_TRI} SELECT count(*)::BIGINT AS triangles FROM t", flag=None), flag=None)(lambda g: cliques.triangle_total(g.kept()))
-on_parts("triangle_list", using(f"{_TRI} SELECT a, b, c FROM t"))(cliques.triangles)
-on_parts("triangle_vertices", using(f"{_TRI} SELECT id, 2 * coalesce(tri, 0) AS tri2, coalesce(tri, 0) AS tri FROM deg LEFT JOIN tv USING (id)"))(cliques.vertex_triangles)
+on_parts("triangle_total", _COUNT)(lambda g: cliques.triangle_total(g.kept()))
+on_parts("triangle_total_by_join", _COUNT)(lambda g: cliques.triangle_total_by_join(g.kept()))
+on_parts("triangle_list", using(f"{_TRI} SELECT a, b, c FROM t"))(lambda g: cliques.triangles(g.kept()))
+on_parts("triangle_vertices", using(f"{_TRI} SELECT id, 2 * coalesce(tri, 0) AS tri2, coalesce(tri, 0) AS tri FROM deg LEFT JOIN tv USING (id)"))(lambda g: cliques.vertex_triangles(g.kept()))
 on_parts("triangle_top_vertices", using(f"{_TRI} SELECT id, tri2, tri FROM (SELECT id, 2 * coalesce(tri, 0) AS tri2, coalesce(tri, 0) AS tri FROM deg LEFT JOIN tv USING (id)) ORDER BY tri DESC, id LIMIT 10"))(
-    lambda g: traverse.top(cliques.vertex_triangles(g), "tri", 10)
+    lambda g: traverse.top(cliques.vertex_triangles(g.kept()), "tri", 10)
 )
 
 
@@ -249,27 +230,32 @@ def _triangle_check(g: Graph) -> DataFrame:
     return total.join(each, how="cross").select("triangles", (F.col("s") == 3 * F.col("triangles")).alias("agree"))
 
 
-def _clique_sql(k: int, select: str) -> str:
-    names = [f"h{i}_{j}" for i in range(k) for j in range(i + 1, k)]
-    tables = " JOIN ".join(
-        [f"half {names[0]}"] + [f"half h{i}_{j} ON h{i}_{j}.src = {_at(i)} AND h{i}_{j}.dst = {_at(j)}" if not (i == j - 1 and j > 1) else f"half h{i}_{j} ON h{i}_{j}.src = {_at(i)}" for j in range(2, k) for i in (j - 1, *range(j - 1))]
-    )
-    return using(f" , q AS (SELECT {', '.join(f'{_at(i)} AS v{i}' for i in range(k))} FROM {tables}) {select}")
+_UP = ", f AS MATERIALIZED (SELECT src AS id, list(dst) AS up FROM half GROUP BY 1)"
 
 
-def _at(i: int) -> str:
-    return "h0_1.src" if i == 0 else f"h{i - 1}_{i}.dst"
+def _clique_levels(k: int) -> str:
+    """CTEs c2 to c(k - 1): cliques in rising order with the larger vertices that extend them."""
+    out = f"{_UP}, c2 AS MATERIALIZED (SELECT [h.src, h.dst] AS c, list_intersect(x.up, y.up) AS cand FROM half h JOIN f x ON x.id = h.src JOIN f y ON y.id = h.dst)"
+    for i in range(3, k):
+        out += f", c{i} AS MATERIALIZED (SELECT list_append(c, v) AS c, list_intersect(cand, up) AS cand FROM (SELECT c, cand, unnest(cand) AS v FROM c{i - 1}) JOIN f ON id = v)"
+    return out
+
+
+def _clique_sql(k: int, select: str = "") -> str:
+    """Counts of k-cliques, or a selection from n(n) with their number."""
+    select = select or f"SELECT {k} AS k, n AS cliques, n * {math.factorial(k)} AS ordered FROM n"
+    return using(f"{_clique_levels(k)}, n AS (SELECT coalesce(sum(len(cand)), 0)::BIGINT AS n FROM c{k - 1}) {select}")
 
 
 for _k in (3, 4, 5, 6):
-    on_parts(f"clique_count_{_k}", _clique_sql(_k, f"SELECT {_k} AS k, count(*)::BIGINT AS cliques, (count(*) * {math.factorial(_k)})::BIGINT AS ordered FROM q"))(lambda g, k=_k: cliques.clique_count(g.kept(), k))
+    on_parts(f"clique_count_{_k}", _clique_sql(_k))(lambda g, k=_k: cliques.clique_count(g.kept(), k))
 on_parts("clique_count_2", using(" SELECT 2 AS k, count(*)::BIGINT AS cliques, (2 * count(*))::BIGINT AS ordered FROM half"))(lambda g: cliques.clique_count(g, 2))
 on_parts("clique_count_1", using(" SELECT 1 AS k, count(*)::BIGINT AS cliques, count(*)::BIGINT AS ordered FROM deg"))(lambda g: cliques.clique_count(g, 1))
-on_parts("clique_count_by_vertex", _clique_sql(4, "SELECT 4 AS k, count(*)::BIGINT AS cliques, (count(*) * 24)::BIGINT AS ordered FROM q"))(lambda g: cliques.clique_count(g.kept(), 4, seed="vertex"))
-on_parts("clique_list_4", _clique_sql(4, f"SELECT {text('[v0, v1, v2, v3]')} AS clique FROM q"))(lambda g: cliques.clique_list(g.kept(), 4).select(string("clique")))
+on_parts("clique_count_by_vertex", _clique_sql(4))(lambda g: cliques.clique_count(g.kept(), 4, seed="vertex"))
+on_parts("clique_list_4", using(f"{_clique_levels(4)} SELECT {text('list_append(c, v)')} AS clique FROM (SELECT c, unnest(cand) AS v FROM c3)"))(lambda g: cliques.clique_list(g.kept(), 4).select(string("clique")))
 
 
-@on_parts("clique_count_by_order", _clique_sql(4, "SELECT o AS \"order\", 4 AS k, count(*)::BIGINT AS cliques, (count(*) * 24)::BIGINT AS ordered FROM q, (VALUES ('identity'), ('random'), ('degree'), ('degeneracy'), ('approximate')) x(o) GROUP BY 1"))
+@on_parts("clique_count_by_order", _clique_sql(4, "SELECT o AS \"order\", 4 AS k, n AS cliques, 24 * n AS ordered FROM n, (VALUES ('identity'), ('random'), ('degree'), ('degeneracy'), ('approximate')) x(o)"))
 def _by_order(g: Graph) -> DataFrame:
     g = g.kept()
     orders = {"identity": order.identity, "random": order.random, "degree": order.by_degree, "degeneracy": order.degeneracy, "approximate": order.approximate}
@@ -293,13 +279,13 @@ def _star_check(g: Graph) -> DataFrame:
     return cliques.star_check(g, cliques.merge_stars(twice.unionByName(twice))).select("stars", "rays", F.col("bad").cast("long").alias("bad"))
 
 
-_MCE = """
+_MCE = _UP + """
 , base(id, nbrs) AS (SELECT p_partkey, coalesce(nbrs, []::BIGINT[]) FROM part LEFT JOIN adj ON id = p_partkey WHERE {keep}
 ), m(c, cand, ext) AS (
-  SELECT [id], nbrs, list_filter(nbrs, lambda x: x > id) FROM base
+  SELECT [base.id], nbrs, coalesce(up, []::BIGINT[]) FROM base LEFT JOIN f ON f.id = base.id
   UNION ALL
-  SELECT list_append(m.c, a.id), list_intersect(m.cand, a.nbrs), list_filter(list_intersect(m.ext, a.nbrs), lambda y: y > a.id)
-  FROM (SELECT c, cand, ext, unnest(ext) AS x FROM m) m JOIN adj a ON a.id = m.x
+  SELECT list_append(m.c, a.id), list_intersect(m.cand, a.nbrs), CASE WHEN up IS NULL THEN []::BIGINT[] ELSE list_intersect(m.ext, up) END
+  FROM (SELECT c, cand, ext, unnest(ext) AS x FROM m) m JOIN adj a ON a.id = m.x LEFT JOIN f ON f.id = m.x
 ), mc AS (SELECT c FROM m WHERE len(cand) = 0)
 """
 _MCE_SQL = using(_MCE.format(keep="nbrs IS NOT NULL") + f"SELECT {text('c')} AS clique FROM mc", recursive=True)
@@ -350,9 +336,9 @@ _HASHED = f" , s AS (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY {sql
 on_parts("sample_edges", using(f"{_HASHED} SELECT u, v, place FROM s WHERE place < 200"))(lambda g: similarity.sample_edges(g, 200))
 
 
-def _non_edges(n: int, seed: int, top: str) -> str:
+def _non_edges(n: int | str, seed: int, top: str) -> str:
     return (
-        f", trial AS (SELECT i, {sql_choice(sql_h('i', seed + 1), top)} + 1 AS x, {sql_choice(sql_h2('i', 'i', seed + 2), top)} + 1 AS y FROM range({4 * n}) t(i)), nonedge AS (SELECT least(x, y) AS u, greatest(x, y) AS v, min(i) AS i FROM trial WHERE x <> y GROUP BY 1, 2), "
+        f", trial AS (SELECT i, {sql_choice(sql_h('i', seed + 1), top)} + 1 AS x, {sql_choice(sql_h2('i', 'i', seed + 2), top)} + 1 AS y FROM (SELECT unnest(range(4 * {n})) AS i)), nonedge AS (SELECT least(x, y) AS u, greatest(x, y) AS v, min(i) AS i FROM trial WHERE x <> y GROUP BY 1, 2), "
         f"ne AS (SELECT u, v, row_number() OVER (ORDER BY i) - 1 AS place FROM nonedge ANTI JOIN half ON src = u AND dst = v QUALIFY row_number() OVER (ORDER BY i) <= {n})"
     )
 
@@ -362,7 +348,7 @@ def _parts_top(spark: SparkSession, sf_dir: str) -> int:
 
 
 _TOP = "(SELECT max(p_partkey) FROM part)"
-on_lines("sample_non_edges", using(f"{_non_edges(200, 0, _TOP)} SELECT u, v, place FROM ne"))(lambda spark, d, flag: similarity.sample_non_edges(part_graph(spark, d, flag=flag).kept(), 200, _parts_top(spark, d)))
+plan("sample_non_edges", using(f"{_non_edges(200, 0, _TOP)} SELECT u, v, place FROM ne"))(lambda spark, d: similarity.sample_non_edges(part_graph(spark, d).kept(), 200, _parts_top(spark, d)))
 _SPLIT = f"{_HASHED} , test AS (SELECT u, v FROM s WHERE place < (SELECT floor(0.1 * count(*)) FROM half))"
 
 
@@ -372,7 +358,7 @@ def _split(g: Graph) -> DataFrame:
     return train.half.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(False).alias("test")).unionByName(test.select("u", "v", F.lit(True).alias("test")))
 
 
-_SPLIT_HALF = f"""WITH whole AS MATERIALIZED ({pairs()}
+_SPLIT_HALF = f"""WITH whole AS MATERIALIZED ({PAIRS}
 ), s AS (SELECT src AS u, dst AS v, row_number() OVER (ORDER BY {sql_h2('src', 'dst', 0)}, src, dst) - 1 AS place FROM whole
 ), test AS (SELECT u, v FROM s WHERE place < (SELECT floor(0.1 * count(*)) FROM whole)
 ), half AS MATERIALIZED (SELECT u AS src, v AS dst FROM s ANTI JOIN test USING (u, v)), {DERIVED}"""
@@ -382,20 +368,20 @@ _SPLIT_HALF = f"""WITH whole AS MATERIALIZED ({pairs()}
     "link_precision",
     _SPLIT_HALF
     + _COMMON.format(pairs="(SELECT u, v FROM cm)")
-    + ", pr AS (SELECT u, v FROM sc ANTI JOIN half ON src = u AND dst = v ORDER BY c DESC, u, v LIMIT 500), hits AS (SELECT count(*) AS hits FROM pr SEMI JOIN test USING (u, v)), n AS (SELECT count(*) AS n FROM test) "
-    'SELECT hits::BIGINT AS hits, 500::BIGINT AS predicted, n::BIGINT AS "true", round(hits / 500, 6) AS precision, round(hits / n, 6) AS recall FROM hits, n',
+    + ", pr AS (SELECT u, v FROM sc ANTI JOIN half ON src = u AND dst = v ORDER BY c DESC, u, v LIMIT (SELECT count(*) FROM test)), hits AS (SELECT count(*) AS hits FROM pr SEMI JOIN test USING (u, v)), n AS (SELECT count(*) AS n FROM test) "
+    'SELECT hits::BIGINT AS hits, n::BIGINT AS predicted, n::BIGINT AS "true", round(hits / n, 6) AS precision, round(hits / n, 6) AS recall FROM hits, n',
 )
 def _precision(g: Graph) -> DataFrame:
     train, test = similarity.split(g.kept(), 0.1)
-    return similarity.precision_recall(similarity.predict(train.kept(), "common_neighbours", 500).select("u", "v"), test)
+    return similarity.precision_recall(similarity.predict(train.kept(), "common_neighbours", test.count()).select("u", "v"), test)
 
 
 def _auc(metric: str):
-    def run(spark: SparkSession, sf_dir: str, flag: str | None) -> DataFrame:
-        g = part_graph(spark, sf_dir, flag=flag).kept()
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = part_graph(spark, sf_dir).kept()
         train, test = similarity.split(g, 0.1)
-        false = similarity.sample_non_edges(g, 1000, _parts_top(spark, sf_dir), 5).select("u", "v")
-        return similarity.auc(train.kept(), test, false, metric, 10_000).select(F.lit(metric).alias("metric"), "auc")
+        false = similarity.sample_non_edges(g, test.count(), _parts_top(spark, sf_dir), 5).select("u", "v")
+        return similarity.auc(train.kept(), test, false, metric, 100_000).select(F.lit(metric).alias("metric"), "auc")
 
     return run
 
@@ -405,8 +391,8 @@ def _auc_sql(metric: str) -> str:
         f"SELECT row_number() OVER (ORDER BY u, v) - 1 AS place, round(coalesce({_AUC_FORMULA[metric]}, 0), 9) AS s FROM (SELECT p.u, p.v, coalesce(common, 0)::DOUBLE AS c, coalesce(adamic, 0) AS aa, coalesce(resource, 0) AS ra, "
         f"coalesce(x.degree, 0)::DOUBLE AS da, coalesce(y.degree, 0)::DOUBLE AS db FROM {pairs} p LEFT JOIN cm USING (u, v) LEFT JOIN deg x ON x.id = p.u LEFT JOIN deg y ON y.id = p.v)"
     )
-    false = _non_edges(1000, 5, _TOP).replace("ANTI JOIN half", "ANTI JOIN whole")
-    picks = f"SELECT {sql_choice(sql_h('i', 21), '(SELECT count(*) FROM ts)')} AS a, {sql_choice(sql_h2('i', 'i', 22), '(SELECT count(*) FROM fs)')} AS b FROM range(10000) r(i)"
+    false = _non_edges("(SELECT count(*) FROM test)", 5, _TOP).replace("ANTI JOIN half", "ANTI JOIN whole")
+    picks = f"SELECT {sql_choice(sql_h('i', 21), '(SELECT count(*) FROM ts)')} AS a, {sql_choice(sql_h2('i', 'i', 22), '(SELECT count(*) FROM fs)')} AS b FROM range(100000) r(i)"
     return (
         _SPLIT_HALF + _COMMON.format(pairs="(SELECT u, v FROM cm)") + false + f", ts AS MATERIALIZED ({scored('test')}), fs AS MATERIALIZED ({scored('ne')}), k AS ({picks}) "
         f"SELECT '{metric}' AS metric, round((count(CASE WHEN ts.s > fs.s THEN 1 END) + 0.5 * count(CASE WHEN ts.s = fs.s THEN 1 END))::DOUBLE / count(*), 6) AS auc FROM k JOIN ts ON ts.place = a JOIN fs ON fs.place = b"
@@ -415,15 +401,15 @@ def _auc_sql(metric: str) -> str:
 
 _AUC_FORMULA = _FORMULA | {"jaccard": "CASE WHEN da + db = 0 THEN 1 ELSE c / (da + db - c) END"}
 for _m in ("jaccard", "common_neighbours", "adamic_adar", "resource_allocation", "preferential_attachment"):
-    on_lines(f"link_auc_{_m}", _auc_sql(_m))(_auc(_m))
+    plan(f"link_auc_{_m}", _auc_sql(_m))(_auc(_m))
 
 
-@on_lines(
+@plan(
     "noisy_edges",
     using(f"{_HASHED}{_non_edges(100, 10, _TOP)} SELECT src, dst FROM half ANTI JOIN (SELECT u, v FROM s WHERE place < 100) x ON x.u = src AND x.v = dst UNION SELECT u, v FROM ne"),
 )
-def _noisy(spark: SparkSession, sf_dir: str, flag: str | None) -> DataFrame:
-    g = part_graph(spark, sf_dir, flag=flag).kept()
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = part_graph(spark, sf_dir).kept()
     return similarity.noisy(g, 100, _parts_top(spark, sf_dir)).half
 
 
@@ -447,10 +433,20 @@ def _pattern_sql(name: str, induced: bool) -> str:
     return using(f" SELECT '{name}' AS pattern, {str(induced).lower()} AS induced, count(*)::BIGINT AS embeddings, (count(*) // {pattern.automorphisms(edges)})::BIGINT AS occurrences FROM {from_} WHERE {' AND '.join(where)}")
 
 
+def _cycle_sql(induced: bool) -> str:
+    """4-cycles as pairs of wedges between opposite ends; induced ones from ends without an edge, less a diamond's one such pair."""
+    wedges = f"{_clique_levels(4)}, cm AS MATERIALIZED (SELECT a.dst AS u, b.dst AS v, count(*) AS c FROM e a JOIN e b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2)"
+    apart = "(SELECT sum(c * (c - 1) // 2) FROM cm ANTI JOIN half ON src = u AND dst = v)"
+    diamonds = "((SELECT sum(c * (c - 1) // 2) FROM cm JOIN half ON src = u AND dst = v) - 6 * (SELECT sum(len(cand)) FROM c3))"
+    n = f"(({apart} - {diamonds}) // 2)" if induced else "(SELECT sum(c * (c - 1) // 2) // 2 FROM cm)"
+    return using(f"{wedges} SELECT 'cycle4' AS pattern, {str(induced).lower()} AS induced, (8 * {n})::BIGINT AS embeddings, ({n})::BIGINT AS occurrences")
+
+
+_PATTERN_SQL = {(n, i): _cycle_sql(i) if n == "cycle4" else _pattern_sql(n, i) for n in pattern.INDUCED for i in (False, True)}
 for _name in ("triangle", "path3", "cycle4", "diamond", "clique4", "tailed_triangle"):
-    on_parts(f"pattern_induced_{_name}", _pattern_sql(_name, True))(lambda g, name=_name: pattern.count(g.kept(), name, True))
+    on_parts(f"pattern_induced_{_name}", _PATTERN_SQL[_name, True])(lambda g, name=_name: pattern.count(g.kept(), name, True))
 for _name in ("path3", "cycle4", "diamond"):
-    on_parts(f"pattern_any_{_name}", _pattern_sql(_name, False))(lambda g, name=_name: pattern.count(g.kept(), name, False))
+    on_parts(f"pattern_any_{_name}", _PATTERN_SQL[_name, False])(lambda g, name=_name: pattern.count(g.kept(), name, False))
 
 
 @on_parts("pattern_first_match", "SELECT 1::BIGINT AS found, 0::BIGINT AS wrong")

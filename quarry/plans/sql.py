@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 
-def pairs(flag: str | None = "R") -> str:
-    """Half edges between parts bought in one order."""
-    where = f"AND a.l_returnflag = '{flag}' AND b.l_returnflag = '{flag}'" if flag else ""
-    return f"""SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS src, greatest(a.l_partkey, b.l_partkey) AS dst
-  FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey {where}"""
+#: Half edges between parts bought in one order.
+PAIRS = """SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS src, greatest(a.l_partkey, b.l_partkey) AS dst
+  FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey"""
 
 
 DERIVED = """e AS MATERIALIZED (SELECT src, dst FROM half UNION ALL SELECT dst, src FROM half
@@ -15,14 +13,9 @@ DERIVED = """e AS MATERIALIZED (SELECT src, dst FROM half UNION ALL SELECT dst,
 ), adj AS MATERIALIZED (SELECT src AS id, list(dst ORDER BY dst) AS nbrs FROM e GROUP BY 1)"""
 
 
-def half(flag: str | None = "R") -> str:
-    """CTEs half(src, dst), e(src, dst) in both directions, deg(id, degree), adj(id, nbrs)."""
-    return f"half AS MATERIALIZED ({pairs(flag)}), {DERIVED}"
-
-
-def using(body: str, flag: str | None = "R", recursive: bool = False) -> str:
-    """A query over those CTEs; body starts with further CTEs (", name AS ...") or with SELECT."""
-    return f"WITH {'RECURSIVE ' if recursive else ''}{half(flag)}{body}"
+def using(body: str, recursive: bool = False) -> str:
+    """A query over CTEs half(src, dst), e(src, dst) in both directions, deg(id, degree) and adj(id, nbrs); body starts with further CTEs (", name AS ...") or with SELECT."""
+    return f"WITH {'RECURSIVE ' if recursive else ''}half AS MATERIALIZED ({PAIRS}), {DERIVED}{body}"
 
 
 def text(array: str) -> str:

@@ -20,8 +20,8 @@ def together(rows: DataFrame, group: str, item: str) -> DataFrame:
     return a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.i").alias("src"), F.col("b.i").alias("dst")).distinct()
 
 
-def part_graph(spark: SparkSession, sf_dir: str, isolated: bool = False, flag: str | None = "R") -> Graph:
-    """Parts bought in one order, both lines with the return flag; all parts as vertices if isolated ones count."""
+def part_graph(spark: SparkSession, sf_dir: str, isolated: bool = False, flag: str | None = None) -> Graph:
+    """Parts bought in one order; all parts as vertices if isolated ones count. A flag keeps lines with that return flag alone."""
     lines = read_table(spark, sf_dir, "lineitem")
     if flag is not None:
         lines = lines.where(F.col("l_returnflag") == flag)

@@ -1,12 +1,13 @@
-"""NAME_all_parts: the registered operators over all lines of the table."""
+"""Graph queries read all lines of the table; those slow on the tables of test_oracles.py are compared with brute force and their SQL here."""
 
 from itertools import combinations, permutations
 
 import pytest
 
 from quarry import registry
-from quarry.plans.graph import NO_WHOLE_SQL
-from quarry.plans.sql import pairs
+from quarry.sources.graphs import part_graph
+from tests.helpers import duck, rows_of
+from tests.test_oracles import SLOW
 
 ORDERS = [(1, 2, 3, 4, 5, 6), (2, 3, 7), (5, 8), (8, 9), (9, 5), (10,), (1, 7)]
 
@@ -40,38 +41,33 @@ def cycles(induced):
 
 
 def brute(name):
-    if name == "directed_test":
-        return [(True,)]
     if name == "clique_count_by_order":
         return [(o, 4, len(cliques(4)), 24 * len(cliques(4))) for o in ("identity", "random", "degree", "degeneracy", "approximate")]
     if name.startswith("clique_count"):
         k = int(name[-1])
-        return [(k, len(cliques(k)), len(cliques(k)) * {4: 24, 6: 720}[k])]
-    if name.startswith("pattern"):
-        n = cycles("induced" in name)
-        return [("cycle4", "induced" in name, n, n // 8)]
+        return [(k, len(cliques(k)), len(cliques(k)) * {4: 24, 5: 120, 6: 720}[k])]
     found = maximal({v for v in NEAR if NEAR[v] or name == "maximal_cliques_with_isolated"})
     if name == "maximal_clique_sizes":
         return [(k, n) for k in range(1, 12) if (n := sum(len(c) == k for c in found))]
     return [(len(found), 0, 0, 0)] if name == "maximal_cliques_by_degeneracy" else [(",".join(map(str, c)),) for c in found]
 
 
-@pytest.mark.parametrize("name", sorted(NO_WHOLE_SQL))
-def test_without_sql_against_brute_force(spark, small, name):
-    rows = registry.queries()[f"{name}_all_parts"](spark, small).collect()
-    assert sorted(tuple(r) for r in rows) == sorted(brute(name))
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_against_brute_force_and_sql(spark, small, name):
+    df = registry.queries()[name](spark, small)
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(rows) == sorted(brute(name))
+    cur = duck(small).execute(registry.oracle_sql()[name])
+    assert rows_of(df.columns, rows) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("induced", [True, False])
+def test_four_cycles_are_counted(spark, small, induced):
+    n = cycles(induced)
+    assert [tuple(r) for r in registry.queries()[f"pattern_{'induced' if induced else 'any'}_cycle4"](spark, small).collect()] == [("cycle4", induced, n, n // 8)]
 
 
 def test_edges_are_of_all_lines(spark, small):
-    found = registry.queries()
-    assert {frozenset(r) for r in found["edge_list_all_parts"](spark, small).collect()} == HALF
-    assert found["edge_list"](spark, small).count() == 0  # lines with one flag alone
-
-
-def test_every_operator_has_a_whole_form():
-    found, sql = registry.queries(), registry.oracle_sql()
-    flagged = {n for n, q in sql.items() if pairs("R") in q}
-    assert flagged and {f"{n}_all_parts" for n in flagged | {"pattern_first_match"}} <= set(found)
-    for n in flagged - NO_WHOLE_SQL:
-        assert "l_returnflag" not in sql[f"{n}_all_parts"] and "l_returnflag" in sql[n]
-    assert not {f"{n}_all_parts" for n in NO_WHOLE_SQL} & set(sql)
+    assert {frozenset(r) for r in registry.queries()["edge_list"](spark, small).collect()} == HALF
+    assert part_graph(spark, small, flag="R").half.count() == 0
+    assert not any("l_returnflag" in q for q in registry.oracle_sql().values())
