@@ -22,10 +22,27 @@ def _smallest_free(used: Column) -> Column:
     return F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), F.size(used).cast("long") + 1), used))
 
 
-def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+#: Vertices and arcs left in by_priority() that one task may finish; a task holds them all.
+TAIL = 2_000_000
+
+
+def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(frames).sort_values(["p1", "p2"], ascending=False)
+    color: dict[int, int] = {}
+    for v, near, used in zip(rows["id"].tolist(), rows["near"], rows["used"]):
+        taken = {*used, *(color[w] for w in near)}
+        c = 1
+        while c in taken:
+            c += 1
+        color[v] = c
+    yield pd.DataFrame({"id": list(color), "color": list(color.values())}).astype("int64")
+
+
+def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None, max_rounds: int | None = None, tail: int = TAIL) -> DataFrame:
     """First-fit colours in rounds: a vertex takes the smallest colour its neighbours lack once all neighbours of higher priority have theirs.
 
     priority(id, p1, p2): compared as a pair, all different. The result equals greedy colouring in falling priority. `colored` fixes some vertices beforehand.
+    Rounds are as many as vertices on the longest falling path, most of them over few vertices: once no more than `tail` vertices and arcs are left, by their count, one task colours these in the same order.
     """
     p = priority.select("id", F.struct("p1", "p2").alias("p"))
     e = g.edges.join(p.withColumnRenamed("id", "src").withColumnRenamed("p", "ps"), "src").join(p.withColumnRenamed("id", "dst").withColumnRenamed("p", "pd"), "dst")
@@ -39,6 +56,12 @@ def by_priority(g: Graph, priority: DataFrame, colored: DataFrame | None = None,
     for _ in rounds(max_rounds):
         if todo.isEmpty():
             break
+        if _ % 8 == 0 and todo.count() + waits.count() <= tail:
+            near = waits.join(known.select(F.col("id").alias("dst"), "color"), "dst", "left").groupBy(F.col("src").alias("id"))
+            near = near.agg(F.collect_list(F.when(F.col("color").isNull(), F.col("dst"))).alias("near"), F.collect_set("color").alias("used"))
+            none = F.array().cast("array<bigint>")
+            rest = todo.join(priority, "id").join(near, "id", "left").select("id", F.col("p1").cast("long").alias("p1"), F.col("p2").cast("long").alias("p2"), F.coalesce("near", none).alias("near"), F.coalesce("used", none).alias("used"))
+            return known.unionByName(materialize(rest.repartition(1).mapInPandas(_finish, "id long, color long"), "colors-rest"))
         state = waits.join(known.select(F.col("id").alias("dst"), "color"), "dst", "left").groupBy(F.col("src").alias("id"))
         state = state.agg(F.count("*").alias("n"), F.count("color").alias("have"), F.collect_set("color").alias("used"))
         ready = todo.join(state, "id", "left").where(F.coalesce("n", F.lit(0)) == F.coalesce("have", F.lit(0)))

@@ -130,7 +130,7 @@ def sampled_median_boundary(left: DataFrame, eps: float) -> float:
     return d[len(d) // 2]
 
 
-def approximate(g: Graph, eps: float = 0.001, boundary: Boundary = average_boundary, max_rounds: int = 10_000) -> DataFrame:
+def approximate(g: Graph, eps: float = 0.001, boundary: Boundary = average_boundary, max_rounds: int | None = None) -> DataFrame:
     """Approximate degeneracy order: each round removes all vertices with at most `boundary` neighbours left.
 
     Ranks follow (round, neighbours left at removal, id).
@@ -138,7 +138,7 @@ def approximate(g: Graph, eps: float = 0.001, boundary: Boundary = average_bound
     edges = materialize(g.edges, "adg-edges")
     left = materialize(g.degrees().select("id", F.col("degree").alias("d")), "adg-left")
     removed = None
-    for round_ in range(max_rounds):
+    for round_ in rounds(max_rounds):
         if left.isEmpty():
             break
         limit = max(int(boundary(left, eps)), left.agg(F.min("d").alias("x")).first().x)

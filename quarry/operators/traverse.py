@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.hashing import h
 from quarry.operators.components import components as connected
-from quarry.operators.graph import Graph
+from quarry.operators.graph import Graph, rounds
 from quarry.storage import drop, materialize
 
 
@@ -41,11 +41,11 @@ def bfs(g: Graph, start: int, arcs: DataFrame | None = None) -> DataFrame:
         parts.append(front)
 
 
-def sssp(edges: DataFrame, start: int, max_rounds: int = 10_000) -> DataFrame:
+def sssp(edges: DataFrame, start: int, max_rounds: int | None = None) -> DataFrame:
     """(id, dist) from edges(src, dst, weight), weights not negative: each round relaxes the arcs of the vertices that improved."""
     edges = materialize(edges, "sssp-edges")
     dist = materialize(edges.sparkSession.createDataFrame([(start, 0, True)], "id long, dist long, moved boolean"), "dist")
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         front = dist.where("moved").select(F.col("id").alias("src"), "dist")
         offer = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("offer"))
         both = dist.select("id", "dist").join(offer, "id", "full").select("id", F.least("dist", "offer").alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("moved"))

@@ -458,10 +458,11 @@ def _first(g: Graph) -> DataFrame:
 # --- colouring ---------------------------------------------------------------------------------------
 
 
-def _greedy_sql(first: str) -> str:
-    """Colours a vertex when all neighbours that come first are coloured."""
+def _greedy_sql(first: str, priority: str = "id, 0") -> str:
+    """Colours a vertex when all neighbours that come first are coloured: those for which `first` holds, of e's ends and their priorities a and b."""
     return using(
-        f""", before AS MATERIALIZED (SELECT src AS v, dst AS w FROM e WHERE {first}
+        f""", pr(id, p1, p2) AS MATERIALIZED (SELECT id, {priority} FROM deg
+), before AS MATERIALIZED (SELECT src AS v, dst AS w FROM e JOIN pr a ON a.id = src JOIN pr b ON b.id = dst WHERE {first}
 ), need AS MATERIALIZED (SELECT id AS v, count(w) AS n FROM deg LEFT JOIN before ON v = id GROUP BY 1
 ), col(v, color) USING KEY (v) AS (
   SELECT v, 1::BIGINT FROM need WHERE n = 0
@@ -477,10 +478,12 @@ def _greedy_sql(first: str) -> str:
 on_parts("coloring_greedy_ascending", _greedy_sql("dst < src"))(lambda g: color.greedy(g.kept()))
 on_parts("coloring_greedy_descending", _greedy_sql("dst > src"))(lambda g: color.greedy(g.kept(), descending=True))
 _VALID = using(" SELECT count(*)::BIGINT AS n, 0::BIGINT AS uncolored, 0::BIGINT AS conflicts, true AS within_max_degree FROM deg")
+_KEY = f"{sql_h('id', 0)} * {1 << 31} + id % {1 << 31}"
+_HIGHER = "b.p1 > a.p1 OR b.p1 = a.p1 AND b.p2 > a.p2"
+on_parts("coloring_jones_plassmann_random", _greedy_sql(_HIGHER, f"{_KEY}, 0"))(lambda g: color.jones_plassmann(g.kept()))
+on_parts("coloring_jones_plassmann_largest_degree", _greedy_sql(_HIGHER, f"degree, {_KEY}"))(lambda g: color.jones_plassmann(g.kept(), "largest_degree"))
+on_parts("coloring_jones_plassmann_order", _greedy_sql(_HIGHER, "degree, id"))(lambda g: _by_degree_order(g.kept()))
 _SCHEMES = {
-    "jones_plassmann_random": lambda g: color.jones_plassmann(g),
-    "jones_plassmann_largest_degree": lambda g: color.jones_plassmann(g, "largest_degree"),
-    "jones_plassmann_order": lambda g: color.jones_plassmann(g, order=order.by_degree(g)),
     "johansson": color.johansson,
     "barenboim": color.barenboim,
     "elkin": color.elkin,
@@ -490,6 +493,10 @@ _SCHEMES = {
 }
 
 
+def _by_degree_order(g: Graph) -> DataFrame:
+    return color.jones_plassmann(g, order=order.by_degree(g))
+
+
 def _checked(scheme):
     def run(g: Graph) -> DataFrame:
         g = g.kept()
