@@ -47,9 +47,20 @@ def permuted(arcs: DataFrame, end: str = "out", descending: bool = False) -> Dat
 # --- peeling ---------------------------------------------------------------------------------
 
 
-def core_numbers(g: Graph, max_rounds: int | None = None) -> DataFrame:
-    """(id, core): the h-index of the neighbours' values, from the degrees down to the fixpoint."""
+#: Arcs up to which core_numbers() peels the graph in one task; a task holds them all.
+TAIL = 2_000_000
+
+
+def core_numbers(g: Graph, max_rounds: int | None = None, tail: int = TAIL) -> DataFrame:
+    """(id, core): the h-index of the neighbours' values, from the degrees down to the fixpoint.
+
+    A graph of no more than `tail` arcs, by their count, is peeled in one task instead, with the same result: rounds over so few rows cost a job each.
+    """
     edges = materialize(g.edges, "core-edges")
+    if edges.count() <= tail:
+        lists = edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("nbrs"))
+        out = materialize(lists.repartition(1).mapInPandas(_cores, "id long, core long"), "core")
+        return out if g.given is None else g.given.join(out, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
     values = materialize(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")).withColumn("moved", F.lit(True)), "core")
     by_value = Window.partitionBy("src").orderBy(F.col("core").desc())
     for _ in rounds(max_rounds):
@@ -65,27 +76,38 @@ def core_numbers(g: Graph, max_rounds: int | None = None) -> DataFrame:
     return out if g.given is None else g.given.join(out, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 
-def _smallest_last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _peeled(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """Vertices in smallest-last order, with the neighbours each has left at its removal."""
     import heapq
 
     nbrs = {int(r.id): [int(x) for x in r.nbrs] for f in frames for r in f.itertuples()}
     degree = {v: len(n) for v, n in nbrs.items()}
     heap = [(d, v) for v, d in degree.items()]
     heapq.heapify(heap)
-    order, done = [], set()
+    done = set()
     while heap:
         d, v = heapq.heappop(heap)
         if v in done or d != degree[v]:
             continue
         done.add(v)
-        order.append(v)
+        yield v, d
         for w in nbrs[v]:
             if w not in done:
                 degree[w] -= 1
                 heapq.heappush(heap, (degree[w], w))
+
+
+def _smallest_last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    order = [v for v, _ in _peeled(frames)]
     yield pd.DataFrame({"id": order, "rank": range(len(order))}).astype("int64")
 
 
+def _cores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.DataFrame(_peeled(frames), columns=["id", "core"]).astype("int64")
+    rows["core"] = rows["core"].cummax()
+    yield rows
+
+
 def degeneracy(g: Graph) -> DataFrame:
     """The exact smallest-last order, smallest id first among ties.
 
