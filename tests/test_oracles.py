@@ -6,8 +6,8 @@ from quarry import registry
 from tests.helpers import check
 
 ORACLE = registry.oracle_sql()
-#: Their SQL takes over 8 s on the dense graph of the smallest tables: tests/test_whole_graph.py runs them on a small one.
-SLOW = {"clique_count_5", "clique_count_6", "clique_count_by_order", "maximal_cliques", "maximal_cliques_by_level", "maximal_cliques_with_isolated", "maximal_clique_sizes", "maximal_cliques_by_degeneracy"}
+#: Their SQL takes about 16 s on the dense graph of the smallest tables: tests/test_whole_graph.py runs them on a small one.
+SLOW = {"maximal_cliques", "maximal_cliques_by_level", "maximal_cliques_with_isolated", "maximal_clique_sizes", "maximal_cliques_by_degeneracy"}
 
 
 @pytest.mark.parametrize("name", [n for n in ORACLE if n not in SLOW])
