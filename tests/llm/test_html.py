@@ -82,3 +82,25 @@ def test_nearest_article_outranks_names_of_wrappers():
     assert main('<div class="search-results"><article><p>a</p></article><p>b</p></div>') == ["a"]
     assert main('<article><div class="social-science"><p>kept</p></div><header class="entry-header"><h1>T</h1></header><div class="ad">no</div></article>') == ["kept", "T"]
     assert main('<article>x<section class="comments"><article>reply</article></section></article><nav><article>n</article></nav>') == ["x"]
+
+
+def test_every_page_is_aligned_and_its_open_lines_decided_by_it(spark):
+    story = lambda n, x="same paragraph": f"<body><div>Site name</div><h1>Title {n}</h1><nav>Menu {n}</nav><article><p>Story {n}</p><p>{x}</p></article><div>Imprint</div></body>"
+    rows = [(1, "http://h.org/a/1", story(1)), (2, "http://h.org/a/2", story(2)), (3, "http://alone.org/a", story(3))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.shared for r in html.shared_lines(df).collect()} == {1: [0, 4, 5], 2: [0, 4, 5]}
+    assert texts(spark, rows) == {1: ["Title 1\nStory 1\nsame paragraph"], 2: ["Title 2\nStory 2\nsame paragraph"], 3: ["Story 3\nsame paragraph"]}
+
+
+def test_copies_and_empty_pages_are_no_partners(spark):
+    own = page("Site name", "Story one")
+    rows = [(1, "http://h.org/a", own), (1, "http://h.org/a", own), (2, "http://h.org/a?ref=x", own), (3, "http://h.org/b", None), (4, "http://h.org/c/d", own), (5, "http://h.org/z", page("Site name", "Story two"))]
+    assert texts(spark, rows) == {1: ["Story one"] * 2, 2: ["Story one"], 3: [""], 4: ["Story one"], 5: ["Story two"]}
+
+
+def test_alignment_by_bits(monkeypatch):
+    a, b = [1, 2] * 30_000 + [3], [4, 2, 1, 1] * 15_000 + [5]
+    assert len(html.longest_common(a, a[::-1])) == 59_999  # 1.8e9 pairs of equal lines
+    assert len(html.longest_common(a, b)) == 44_999  # all of b that a has but one, as the greedy match of b in a ends one line short
+    monkeypatch.setattr(html, "MATCHES", 0)
+    test_longest_common_subsequence()
