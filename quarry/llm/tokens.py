@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -32,9 +33,23 @@ REMEMBERED = 200_000
 #: Marks by hash of pre-tokens met before, as most are met once only and need not be remembered.
 MARKS = 1 << 22
 
+#: Tokenizers whose pre-tokens reach the library's model as their UTF-8 bytes, a character each, with these spelt otherwise.
+BYTES = {"byte_bpe_50k.json"}
+SPELT = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+SPACE = chr(SPELT[ord(" ")])
 _encoders: dict[tuple, Encoder] = {}
 
 
+class Known(dict):
+    """Ids of pre-tokens; what is looked up in vain by [] is None, and noted."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.append(piece)
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int, at_once: bool):
         import os
@@ -51,7 +66,8 @@ class Encoder:
         same = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.lead, self.remembered = re.match(r"\W*", same)[0], remembered  # looked for first, as it is quick
         name = path.rsplit("/", 1)[-1]
-        self.pieces, self.lower, self.known = PIECES.get(name), name in LOWER_FIRST, {}
+        self.pieces, self.lower, self.known = PIECES.get(name), name in LOWER_FIRST, Known()
+        self.bytes = name in BYTES
         self.met = None if at_once else bytearray(MARKS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -79,23 +95,39 @@ class Encoder:
             self.met[mark] = 1
         return again
 
+    def _whole(self, text: str) -> bool:
+        """If the library gets the text whole."""
+        return bool(self.pieces is None or SAFE.search(text) or (self.lead in text and self.special.search(text)))
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new pre-tokens, remembered while there is room."""
+        if self.bytes:
+            tokenize = self.tokenizer.model.tokenize
+            spelt = (p.replace(" ", SPACE) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(SPELT) for p in new)
+            return self._remember({p: array("I", [t.id for t in tokenize(x)]).tobytes() for p, x in zip(new, spelt)})
+        plain = [p for p in new if PLAIN.fullmatch(p) and (p[0] == " ") != self.lower]
+        other = list(new.difference(plain))
+        fresh = dict(zip(plain, self._words([p if self.lower else p[1:] for p in plain], " ")))
+        fresh.update(zip(other, self._library(other)))
+        return self._remember(fresh)
+
+    def _remember(self, fresh: dict[str, bytes]) -> dict[str, bytes]:
+        if len(self.known) < self.remembered:
+            self.known.update(fresh if self.met is None else self._again(fresh))
+        return fresh
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.pieces is None or SAFE.search(text) or (self.lead in text and self.special.search(text)):
+        if self._whole(text):
             return self._library([text])[0]
         found = self.pieces.findall(text.lower() if self.lower else text)
-        ids = list(map(self.known.get, found))
-        if None in ids:
-            new = list({p for p, i in zip(found, ids) if i is None})
-            plain = [p for p in new if PLAIN.fullmatch(p)]
-            plain = [p for p in plain if (p[0] == " ") != self.lower]
-            other = list(set(new).difference(plain))
-            fresh = dict(zip(plain, self._words([p if self.lower else p[1:] for p in plain], " ")))
-            fresh.update(zip(other, self._library(other)))
-            if len(self.known) < self.remembered:
-                self.known.update(fresh if self.met is None else self._again(fresh))
+        ids = list(map(self.known.__getitem__, found))
+        if self.known.missed:
+            new = set(self.known.missed)
+            self.known.missed.clear()
+            fresh = self._fresh(new)
             ids = [fresh[p] if i is None else i for p, i in zip(found, ids)]
         return b"".join(ids)
 

@@ -162,3 +162,19 @@ def test_files_are_not_split_and_special_tokens_are_the_librarys(spark, tmp_path
         ids = plain.encode(rows[r.doc_id][1], add_special_tokens=False).ids
         assert 50256 in ids and (r.start, r.n_tokens) == (before, len(ids) + 1)
         before += len(ids) + 1
+
+
+def test_new_pre_tokens_of_bytes_go_to_the_model_alone(monkeypatch):
+    from quarry.llm.tokens import SAFE, Encoder
+
+    name = "byte_bpe_50k.json"
+    chars = [c for c in map(chr, range(0x2100)) if not SAFE.search(c)]
+    texts = ["".join(chars), " ".join(chars), "\n".join(f"{c}{c} a{c}" for c in chars), "won't  stop\r\n\t é1²'s ", "un mot, un mot"]
+    want = [library(name, text, 0)[:-1] for text in texts]
+    whole = lambda *_: (_ for _ in ()).throw(AssertionError("the library got a text"))
+    monkeypatch.setattr(Encoder, "_library", whole)
+    monkeypatch.setattr(Encoder, "_words", whole)
+    for remembered in (0, 900_000):
+        enc = Encoder(public_path(name), remembered, True)
+        assert [np.frombuffer(enc.encode(text), "<u4").tolist() for text in texts * 2] == want * 2
+        assert bool(enc.known) == (remembered > 0) and not enc.known.missed
