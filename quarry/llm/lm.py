@@ -11,9 +11,10 @@ words of the corpus. A document's score is the mean of log10 S over its words.
    Rows are dealt by a hash of the word, salted by its context if the word is frequent, and by the
    document in a frequent bigram. So no hash partition gets more than a small share through one word
    or bigram, at any size.
-3. In the hash partitions the rows are sorted once, which makes the tables of bigram counts (h, w, c)
-   and of word counts beside the rows that look them up: no count or row is shuffled again for that.
-   Counts of frequent words are joined from the broadcast table. What is left open is joined after
+3. In the hash partitions the rows are sorted once, which makes the table of bigram counts (h, w, c)
+   beside the rows that look it up: no bigram count or row is shuffled again for that. The counts of
+   other words are dealt by the same hash and joined there, those of frequent words from the broadcast
+   table. What is left open is joined after
    that: counts of other contexts from the unigram table, those of frequent bigrams from a table of
    them. Terms are summed per document before each shuffle.
 
@@ -214,18 +215,20 @@ def _share(total: int):
     return F.lit(1.0 / max(total, 1))
 
 
-def _terms(rows: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
+def _terms(rows: DataFrame, frequent: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
     """Per document, and per count that is not here: sums of words with, in the lower half, seen bigrams; and of terms.
 
     `context` is null where nothing is left open. It is a context that is not frequent, where the bigrams wait for
     log10(c(context .) - nh), or below 0 a frequent bigram, that waits for all of its term; nh has the bigram's times
     in its upper half there, as equal documents are summed here.
     """
-    # in each hash partition: the table of bigram counts c, and of word counts cw, beside the rows that they count
+    # in each hash partition: the table of bigram counts c beside the rows that they count, sorted by a hash first, as most
+    # rows are then told apart by one number; and the counts of words, dealt as the rows are (words not in `repeated` have one)
     n = F.shiftright("times", 32)
     # (larger partitions than usual, as a document's terms are summed per partition before they are shuffled)
-    df = rows.repartition(max(1, 3 * shuffle_partitions(rows.sparkSession) // 5), "w").select("w", "h", "doc", n.alias("n"), F.col("times").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nh"))
-    df = df.withColumn("c", F.sum("n").over(Window.partitionBy("w", "h"))).withColumn("cw", F.sum("n").over(Window.partitionBy("w")))
+    df = rows.repartition(max(1, 3 * shuffle_partitions(rows.sparkSession) // 5), "w").select("w", "h", "doc", n.alias("n"), F.col("times").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nh"), F.xxhash64("w", "h").alias("by"))
+    df = df.withColumn("c", F.sum("n").over(Window.partitionBy("by", "w", "h"))).drop("by")
+    df = df.join(repeated.hint("shuffle_hash"), "w", "left").withColumn("cw", F.coalesce("cw", F.lit(1)))
     # joined with the counts of frequent words
     number = F.when(F.col("w") < HASHED, F.col("w").bitwiseAND(F.lit((1 << BITS) - 1)))
     df = df.join(F.broadcast(frequent.select(F.col("id").alias("iw"), F.col("n").alias("fw"))), number == F.col("iw"), "left")
@@ -269,7 +272,8 @@ def scores(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     shared = spark.sparkContext.broadcast((words, pairs))
     frequent = _local(spark, "id long, n long, follows long", np.arange(len(words)) + 1, counts, follows)
 
-    done = [materialize(_terms(rows.mapInArrow(_bigrams(shared, part, slices), BIGRAMS), frequent, total), "terms") for part in range(slices)]
+    repeated = unigrams.where("n > 1").select(F.col("word").bitwiseOR(F.lit(HASHED)).alias("w"), F.col("n").alias("cw"))
+    done = [materialize(_terms(rows.mapInArrow(_bigrams(shared, part, slices), BIGRAMS), frequent, repeated, total), "terms") for part in range(slices)]
     terms = done[0]
     for x in done[1:]:
         terms = terms.unionByName(x)

@@ -75,3 +75,14 @@ def test_random_texts(spark):
 def test_empty_table(spark):
     assert result(spark, ROWS[2:4]) == brute(ROWS[2:4])
     assert lm.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_word_counts_are_joined_where_the_rows_are(spark, monkeypatch):
+    plans, write = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    df = spark.createDataFrame([(i, f"a b c{i} a b d{i % 3}") for i in range(9)], "doc_id long, text string")
+    assert lm.scores(df).count() == 9
+    terms = [plan for name, plan in plans if name == "terms"]
+    assert len(terms) == lm.SLICES
+    for plan in terms:
+        assert sum("Window [" in x for x in plan.splitlines()) == 1 and sum("RepartitionByExpression" in x for x in plan.splitlines()) == 1
