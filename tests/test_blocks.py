@@ -51,3 +51,24 @@ def test_auc_makes_no_other_pairs(graph, monkeypatch, metric):
         assert metric != "adamic_adar" or abs(r.adamic - known[r.u, r.v][1]) < 1e-9
     monkeypatch.setattr(similarity, "common", None)
     assert 0 <= similarity.auc(graph, true, false, metric, 100).first().auc <= 1
+
+
+@pytest.mark.parametrize("kind", ["saturation", "incidence"])
+def test_dynamic_colouring_holds_little_beside_the_lists(kind):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    near = {v: set() for v in range(600)}
+    for a, b in random.Random(5).sample(list(combinations(near, 2)), 30_000):
+        near[a].add(b)
+        near[b].add(a)
+    frame = pd.DataFrame({"id": list(near), "nbrs": [np.array(sorted(n)) for n in near.values()]})
+    tracemalloc.start()
+    found = next(color._dynamic(kind)(iter([frame])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = dict(zip(found.id, found.color))
+    assert len(got) == 600 and all(got[a] != got[b] for a in near for b in near[a])
+    assert peak < 25 * 60_000  # bytes an arc; lists of ints and sets took 70 and 123
