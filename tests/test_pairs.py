@@ -43,3 +43,22 @@ def test_a_list_is_sent_once_to_a_pair(spark, monkeypatch):
 def test_no_lists_meet_in_nothing(spark):
     empty = spark.createDataFrame([], "id long, nbrs array<long>")
     assert blocks.met(empty, directed=False).count() == 0
+
+
+def test_johansson_asks_fewer_arcs_each_round(spark, monkeypatch):
+    from quarry.operators import color
+
+    g, half, _ = _graph(spark, NEAR_IDS)
+    sizes = []
+
+    def counted(df, name, **options):
+        out = materialize(df, name, **options)
+        if name == "color-edges":
+            sizes.append(out.count())
+        return out
+
+    materialize = color.materialize
+    monkeypatch.setattr(color, "materialize", counted)
+    found = {r.id: r.color for r in color.johansson(g).collect()}
+    assert len(found) == 40 and all(found[u] != found[v] for u, v in half)
+    assert sizes[0] == 2 * len(half) and sizes == sorted(sizes, reverse=True) and sizes[-1] == 0  # all arcs in every round before
