@@ -81,3 +81,57 @@ def test_no_row_is_made_for_an_edge(spark, tmp_path):
     for name in ("clique_stars", "maximal_cliques", "clique_count_4", "pattern_any_diamond"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and "sum(n" not in plan.split("MapInArrow", 1)[1]
+
+
+def test_gaps_give_the_numbers_back_and_take_little_room():
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    far = [5, -3, 2**62, -(2**62), 2**63 - 1, -(2**63), 0]
+    for x in (np.array(far), np.array([7, 7, -9, 2**31 - 1, -(2**31)], np.int32), np.zeros(0, np.int32), np.array([3])):
+        column = pa.chunked_array([rooted._gaps(x), rooted._gaps(x[::-1].copy())]).combine_chunks()
+        there, back = rooted._members(column, x.dtype.type)
+        assert (there == x).all() and (back == x[::-1]).all() and there.dtype == x.dtype and len(there) == len(x)
+    lists = np.sort(np.random.default_rng(1).integers(0, 1_200_000, 20_000)).astype(np.int32)
+    assert len(zlib.compress(rooted._gaps(lists)[0].as_py(), 1)) < 0.6 * len(zlib.compress(lists.tobytes(), 1))
+
+
+def test_checked_cliques_keep_small_ids(spark, monkeypatch):
+    g, _ = made(spark, CLOSE)
+    seen, real = [], blocks._paired
+    monkeypatch.setattr(blocks, "_paired", lambda rows, *more: (seen.append(dict(rows.dtypes)["id"]), real(rows, *more))[1])
+    found = cliques.maximal_cliques(g)
+    assert cliques.clique_check(g, found).first().not_cliques == 0
+    beyond = found.unionByName(found.sparkSession.createDataFrame([([-(10**12), 5, 10**12],), ([-50, -40],)], "clique array<bigint>"))
+    assert cliques.clique_check(g, beyond).first().not_cliques == 2
+    assert seen[1] == "int" and seen[-1] == "bigint"
+
+
+def test_distinct():
+    import numpy as np
+
+    for x in ([], [3], [2, 2, 1, 5, 1]):
+        assert blocks.distinct(np.array(x, np.int64)).tolist() == sorted(set(x))
+
+
+@pytest.mark.parametrize("kind", ["int32", "int64"])
+def test_squeezed_lists_come_back_and_take_little_room(kind):
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    high = int(np.iinfo(kind).max)
+    rows = [[], [5], [-high - 1, high, 0, -3], [], [2, 2, 9], [*range(100, 1000, 7)], []]
+    for a, b in ((0, 7), (1, 3), (3, 4), (2, 7), (0, 1), (3, 3)):
+        raws = blocks._squeezed(pa.array(rows, pa.list_(getattr(pa, kind)()))[a:b])
+        size, flat = blocks._members(raws, np.dtype(kind))
+        assert size.tolist() == [len(x) for x in rows[a:b]] and flat.tolist() == sum(rows[a:b], []) and flat.dtype == kind
+        if b - a > 2:
+            size, flat = blocks._members(raws[1:-1], np.dtype(kind))
+            assert flat.tolist() == sum(rows[a + 1 : b - 1], []) and size.tolist() == [len(x) for x in rows[a + 1 : b - 1]]
+    lists = [np.sort(x).astype(kind) for x in np.random.default_rng(1).integers(0, 1_200_000, (500, 50))]
+    raw = blocks._squeezed(pa.array(lists)).buffers()[2].to_pybytes()
+    assert len(zlib.compress(raw, 1)) < 0.75 * len(zlib.compress(np.concatenate(lists).tobytes(), 1))
